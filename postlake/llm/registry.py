@@ -1,6 +1,8 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
+from postlake.llm import sharding
 from postlake.llm.bpe import op1_byte_bpe
+from postlake.llm.secrets import op6_secret_scan
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_secret_scan": op6_secret_scan, "op7_ring_sharding": sharding.op7_ring_sharding}
+ORACLES = {"op7_ring_sharding": sharding.oracle_sql()}
