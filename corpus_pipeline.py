@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from postlake.llm import bpe
 from postlake.llm.common import written
@@ -11,8 +10,7 @@ from postlake.llm.common import written
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether decoding them gives its text back."""
-    ids = bpe.decode(bpe.encode(docs))
-    return ids.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(bpe.encode(docs, decoding=True))
 
 
 STAGES = [("byte_bpe", encoded)]

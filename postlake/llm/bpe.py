@@ -27,6 +27,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlake.llm.common import small_batches
+
 RANKS = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32768, 512
 #: A match is settled if two more characters follow it: the longest look ahead is that of 're, 've and 'll.
@@ -95,22 +97,17 @@ def unpack(ids: bytes) -> list[int]:
     return np.frombuffer(ids, "<u4").tolist()
 
 
-def encode_udf(path: str):
-    @F.pandas_udf("binary")
-    def encode_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield pd.Series([encode_piece(x, path) for x in series], dtype=object)
-
-    return encode_text
-
+def encoded(batches: Iterator[pa.RecordBatch], path: str, decoding: bool) -> Iterator[pa.RecordBatch]:
+    """The batches with their last column, a text, replaced by its ids and, if asked for, what these decode to."""
+    for batch in batches:
+        ids = [encode_piece(x.as_py(), path) for x in batch.column(batch.num_columns - 1)]
+        out = [pa.array(ids, pa.binary())] + ([pa.array([decode_ids(x, path) for x in ids], pa.binary())] if decoding else [])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*batch.schema.names[:-1], "ids", "decoded"][: batch.num_columns + decoding])
 
-def decode_udf(path: str):
-    @F.pandas_udf("binary")
-    def decode_text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in ids:
-            yield pd.Series([None if x is None else decode_ids(x, path) for x in series], dtype=object)
 
-    return decode_text
+def decoded(batches: Iterator[pa.RecordBatch], path: str, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x.as_py() is None else decode_ids(x.as_py(), path) for x in batch.column(at)], pa.binary())], [*batch.schema.names, "decoded"])
 
 
 def chunk_bounds(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
@@ -166,13 +163,14 @@ def stitched(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k": rows["k"].iloc[0], "c": [x[0] for x in out], "piece": [x[1] for x in out], "begin": [x[2] for x in out], "cut": [x[3] for x in out]})
 
 
-def joined(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("piece")
-    return pd.DataFrame({"k": [rows["k"].iloc[0]], "ids": [b"".join(rows["ids"])]})
+def joined(rows: pd.DataFrame, path: str, decoding: bool) -> pd.DataFrame:
+    """The ids of a document's pieces in order, and their bytes if asked for."""
+    ids = b"".join(rows.sort_values("piece")["ids"])
+    return pd.DataFrame({"k": [rows["k"].iloc[0]], "ids": [ids]} | ({"decoded": [decode_ids(ids, path)]} if decoding else {}))
 
 
-def encode_long(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
-    """(k, text) with distinct k to (k, ids), each text by overlapping chunks."""
+def encode_long(texts: DataFrame, path: str, chunk: int, overlap: int, decoding: bool) -> DataFrame:
+    """(k, text) with distinct k to (k, ids) and decoded, if asked for, each text by overlapping chunks."""
     chunks = texts.mapInArrow(lambda b: scanned(b, chunk, overlap), "k string, c long, start long, last boolean, body string").repartition("k", "c")
     cuts = chunks.mapInArrow(lambda b: scan(b, chunk, overlap), "k string, c long, left array<long>, right array<long>, sure array<long>").groupBy("k").applyInPandas(stitched, "k string, c long, piece long, begin long, cut long")
     # a chunk gives its piece the text from the cut behind it to the cut before it; where a piece spans chunks, each gives what the next doesn't
@@ -182,29 +180,38 @@ def encode_long(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFr
     parts = chunks.join(cuts, ["k", "c"]).select("k", "piece", "c", begin.alias("a"), end.alias("b"), "body")
     parts = parts.select("k", "piece", F.struct("c", F.substring("body", (F.col("a") + 1).cast("int"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).cast("int")).alias("part")).alias("part"))
     pieces = parts.groupBy("k", "piece").agg(F.array_join(F.sort_array(F.collect_list("part"))["part"], "").alias("text"))
-    return pieces.select("k", "piece", encode_udf(path)("text").alias("ids")).groupBy("k").applyInPandas(joined, "k string, ids binary")
+    ids = pieces.mapInArrow(lambda b: encoded(b, path, False), "k string, piece long, ids binary")
+    return ids.groupBy("k").applyInPandas(lambda rows: joined(rows, path, decoding), "k string, ids binary" + ", decoded binary" * decoding)
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """key, ids (packed, see unpack()) and n_tokens of each row of docs."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, decoding: bool = False) -> DataFrame:
+    """key, ids (packed, see unpack()) and n_tokens of each row of docs; with decoding also decoded, the bytes that the ids stand for, in the same pass."""
     if overlap > chunk:
         raise ValueError("an overlap can't be longer than a chunk")
+    small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(RANKS)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     fits: Column = F.char_length("text") <= chunk
-    short = rows.where(fits).select("key", encode_udf(path)("text").alias("ids"))
+    more = ["decoded"] * decoding
+    short = rows.where(fits).mapInArrow(lambda b: encoded(b, path, decoding), f"key {rows.schema[0].dataType.simpleString()}, ids binary" + ", decoded binary" * decoding)
     long = rows.where(~fits).withColumn("k", F.sha2(F.col("text"), 256))
-    ids = encode_long(long.select("k", "text").dropDuplicates(["k"]), path, chunk, overlap)
-    both = short.unionByName(long.select("key", "k").join(ids, "k").select("key", "ids"))
-    return both.select(F.col("key").alias(key), "ids", F.expr("octet_length(ids) div 4").alias("n_tokens"))
+    ids = encode_long(long.select("k", "text").dropDuplicates(["k"]), path, chunk, overlap, decoding)
+    both = short.unionByName(long.select("key", "k").join(ids, "k").select("key", "ids", *more))
+    return both.select(F.col("key").alias(key), "ids", F.expr("octet_length(ids) div 4").alias("n_tokens"), *more)
 
 
-def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
-    """encoded with a column of the raw bytes of its ids, named decoded (in place of one that it has)."""
-    return encoded.withColumn("decoded", decode_udf(path or public_tokenizers.path(RANKS))(F.col(ids)))
+def decode(encoded_rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """encoded_rows with a column of the raw bytes of their ids, named decoded (in place of one that they have)."""
+    path, rows = path or public_tokenizers.path(RANKS), encoded_rows.drop("decoded")
+    at = rows.columns.index(ids)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(lambda b: decoded(b, path, at), f"{kinds}, decoded binary")
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded and decoded again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decode(encode(docs)).select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), decoding=True))
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="postlake-")
         spark.conf.set("spark.checkpoint.dir", base)
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
     return f"{base.rstrip('/')}/postlake-{spark.sparkContext.applicationId}"
 
 
@@ -49,6 +51,11 @@ def forget(*tables: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of a few MB, so that a worker's memory doesn't follow the length of texts (a batch holds one row at least)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of a key's text, modulo modulus; a null key counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

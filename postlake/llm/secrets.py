@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlake.llm.common import small_batches
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -118,6 +120,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans(x.as_py())] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, SPANS)], ["key", "spans"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(scanned, f"key {rows.schema[0].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)
 
@@ -129,6 +132,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     def clean(series):
         return series.map(lambda x: redact(x, spans(x)) if x else x)
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(text, clean(F.col(text)))
 
 
