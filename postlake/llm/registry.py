@@ -3,6 +3,12 @@
 from postlake.llm import sharding
 from postlake.llm.bpe import op1_byte_bpe
 from postlake.llm.secrets import op6_secret_scan
+from postlake.llm.sstable import op4_sstable_ids
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_secret_scan": op6_secret_scan, "op7_ring_sharding": sharding.op7_ring_sharding}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op4_sstable_ids": op4_sstable_ids,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_ring_sharding": sharding.op7_ring_sharding,
+}
 ORACLES = {"op7_ring_sharding": sharding.oracle_sql()}
