@@ -4,9 +4,11 @@ from postlake.llm import decontamination, sharding
 from postlake.llm.bpe import op1_byte_bpe
 from postlake.llm.secrets import op6_secret_scan
 from postlake.llm.sstable import op4_sstable_ids
+from postlake.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
     "op4_sstable_ids": op4_sstable_ids,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
