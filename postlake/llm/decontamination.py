@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm.common import mixed, small_batches
-from postlake.llm.shingles import parts, shingle_set, shingles
+from postlake.llm.shingles import parts, shingle_set, shingle_sql, shingles
 
 WORDS, LEAST = 5, (4, 5)
 HASHES = 64
@@ -150,13 +150,6 @@ def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     return contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def shingle_sql(table: str, key: str, n: int) -> str:
-    """DuckDB SQL for the distinct shingles of a table's texts."""
-    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-FROM (SELECT {key}, list_filter(string_split_regex(coalesce({lowered}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table})"""
-
-
 ORACLE = f"""
 WITH d AS ({shingle_sql("documents", "doc_id", WORDS)}), b AS ({shingle_sql("benchmark", "item_id", WORDS)}), n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY 1)
 SELECT d.doc_id, b.item_id, any_value(n_item)::INT AS n_item, count(*)::INT AS n_shared

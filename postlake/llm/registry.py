@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from postlake.llm import decontamination, sharding
+from postlake.llm import decontamination, neardup, sharding
 from postlake.llm.bpe import op1_byte_bpe
 from postlake.llm.secrets import op6_secret_scan
 from postlake.llm.sstable import op4_sstable_ids
@@ -9,9 +9,10 @@ from postlake.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_sstable_ids": op4_sstable_ids,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
     "op7_ring_sharding": sharding.op7_ring_sharding,
 }
-ORACLES = {"op5_decontamination": decontamination.ORACLE, "op7_ring_sharding": sharding.oracle_sql()}
+ORACLES = {"op3_near_duplicates": neardup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op7_ring_sharding": sharding.oracle_sql()}
