@@ -45,9 +45,9 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<6QI8s")
 MAGIC = b"PLSST001"
 INDEX = struct.Struct("<9s4Q")
-#: The pre-tokeniser drops white space and lets no token cross it, so parts between these characters are encoded once and kept.
-PART = re.compile(r"[^ \t\n\r]+")
-KEPT = 300_000
+#: The pre-tokeniser drops white space and lets no token cross it, nor the place between a letter or digit and such a mark, so parts between these are encoded once and kept.
+PART = re.compile(r"[^\W_]++(?=[,.;:!?])|[^ \t\n\r]+")
+KEPT = 600_000
 
 
 @functools.cache
@@ -69,11 +69,12 @@ def encode_texts(texts: list[str], path: str, end: int = END) -> list[bytes]:
     if len(known) > KEPT:
         known.clear()
     parts = [PART.findall(t) for t in texts]
-    new = list({p for x in parts for p in x if p not in known})
+    new = list(set().union(*parts).difference(known))
     for first in range(0, len(new), 10_000):
         some = new[first : first + 10_000]
         for part, found in zip(some, tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[part] = np.array(found.ids, "<u4").tobytes()
+            ids = found.ids
+            known[part] = struct.pack(f"<{len(ids)}I", *ids)
     return [b"".join([*map(known.__getitem__, x), tail]) for x in parts]
 
 
