@@ -2,6 +2,7 @@
 
 from postlake.llm import decontamination, neardup, sharding
 from postlake.llm.bpe import op1_byte_bpe
+from postlake.llm.katz import op8_katz_scores
 from postlake.llm.secrets import op6_secret_scan
 from postlake.llm.sstable import op4_sstable_ids
 from postlake.llm.toxicity import op2_toxicity
@@ -14,5 +15,6 @@ QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
     "op7_ring_sharding": sharding.op7_ring_sharding,
+    "op8_katz_scores": op8_katz_scores,
 }
 ORACLES = {"op3_near_duplicates": neardup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op7_ring_sharding": sharding.oracle_sql()}
