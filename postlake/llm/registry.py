@@ -1,7 +1,8 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from postlake.llm import decontamination, neardup, sharding
+from postlake.llm import decontamination, neardup, sharding, topk
 from postlake.llm.bpe import op1_byte_bpe
+from postlake.llm.chat import op9_chat_format
 from postlake.llm.katz import op8_katz_scores
 from postlake.llm.secrets import op6_secret_scan
 from postlake.llm.sstable import op4_sstable_ids
@@ -16,5 +17,12 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_ring_sharding": sharding.op7_ring_sharding,
     "op8_katz_scores": op8_katz_scores,
+    "op9_chat_format": op9_chat_format,
+    "op10_pivot_topk": topk.op10_pivot_topk,
+}
+ORACLES = {
+    "op3_near_duplicates": neardup.ORACLE,
+    "op5_decontamination": decontamination.ORACLE,
+    "op7_ring_sharding": sharding.oracle_sql(),
+    "op10_pivot_topk": topk.ORACLE,
 }
-ORACLES = {"op3_near_duplicates": neardup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op7_ring_sharding": sharding.oracle_sql()}
