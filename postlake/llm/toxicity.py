@@ -15,7 +15,7 @@ fixed (one number for each hashed n-gram: the linear softmax of an embedding).
 Defined results: null and empty texts, and texts without words, get the score of the softmax for an empty
 window; repeated rows are scored each; rows with null ids are scored; of several labels of an id the highest
 counts, and null labels count as none; without labels of both classes every score is the share of toxic ones
-(a half if there are none); only ids, texts and labels are read.
+(a quarter if there are none, so that nothing is rejected unlearnt); only ids, texts and labels are read.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     used = np.array([bool(x) for x in lists], bool)
     y, lists = y[used], [x for x in lists if x]
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        share = (y.sum() + 0.25) / (len(y) + 1)
         return Model(np.zeros(BUCKETS), math.log(share / (1 - share)))
     names: dict[str, int] = {}
     ids = [np.fromiter((names.setdefault(w, len(names)) for w in x), np.int32, len(x)) for x in lists]

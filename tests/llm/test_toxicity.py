@@ -57,8 +57,8 @@ def test_scores_are_those_of_one_gram_at_a_time(spark, table):
 
 def test_without_labels_or_rows(spark, table):
     docs = spark.createDataFrame(table[0], SCHEMA)
-    assert t.train(docs, spark.createDataFrame([], LABELS)).scores(["a b"])[0] == pytest.approx(0.5)
-    assert t.train(docs.limit(0), spark.createDataFrame(table[1], LABELS)).scores([""])[0] == pytest.approx(0.5)
+    assert t.train(docs, spark.createDataFrame([], LABELS)).scores(["a b"])[0] == pytest.approx(0.25)
+    assert t.train(docs.limit(0), spark.createDataFrame(table[1], LABELS)).scores([""])[0] == pytest.approx(0.25)
     assert t.train(docs, spark.createDataFrame([(1, 0, ""), (2, 0, "")], LABELS)).scores(["a"])[0] < 0.5
 
 
