@@ -15,8 +15,10 @@ levels show similar sets. Then
 
 Steps 3 to 5 run in turns. First each bucket compares its members with one of them only (the same for all
 buckets where possible, then another for each band), which joins groups of many near copies without listing
-their pairs. At last all pairs that share a bucket and are in different components by then are compared, so no
-link between components is lost.
+their pairs. What is left are members of buckets that hold several components by then. Pairs of these are found
+exactly, by prefix filtering: in any one order of shingles, two sets at the threshold share one of the first
+n - ceil(t * n) + 1 of each. The order puts seldom shingles first (by counts in SLOTS slots of their hashes, a
+table of fixed size), so a passage that many documents share joins no pairs. No link between components is lost.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and kept; texts
 with fewer words than a shingle have one shingle, their whole sequence; rows with equal sets are linked;
@@ -41,6 +43,7 @@ REGISTERS, ROWS, BASE, TOP = 400, 8, 1.1, 255
 BANDS = REGISTERS // ROWS
 SURE = 14.0
 TURNS = 2
+SLOTS = 1 << 15
 MULTIPLY = (mixed(np.arange(20_000, 20_000 + REGISTERS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 ADD = mixed(np.arange(40_000, 40_000 + REGISTERS, dtype=np.uint64)).astype(np.uint32)
 
@@ -144,9 +147,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, least: tuple[int, int])
         for batch in batches:
             sides = []
             for c in ("ta", "tb"):
-                column = batch.column(c)
-                sets = [distinct(*shingles(column.slice(s, e - s), n)) for s, e in parts(column)]
-                sides.append([h[a:b] for h, at in sets for a, b in zip(at, at[1:], strict=False)])
+                sides.append(list(text_sets(batch.column(c), n)))
             good = []
             for x, y in zip(*sides, strict=True):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -174,10 +175,52 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def text_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text of a column."""
+    for start, stop in parts(column):
+        hashes, at = distinct(*shingles(column.slice(start, stop - start), n))
+        yield from (hashes[a:b] for a, b in zip(at, at[1:], strict=False))
+
+
+def slot_counts(rest: DataFrame, n: int) -> np.ndarray:
+    """How many shingles of the texts of rest fall into each slot: each task sends SLOTS numbers at most."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for own in text_sets(batch.column(0), n):
+                total += np.bincount((own % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full])], ["slot", "c"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for row in rest.select("text").mapInArrow(counted, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).collect():
+        out[row.slot] = row.c
+    return out
+
+
+def prefixes(rest: DataFrame, n: int, least: tuple[int, int]) -> DataFrame:
+    """(s, k, n, comp): for each text the hashes of its first shingles, seldom slots first."""
+    counts = rest.sparkSession.sparkContext.broadcast(slot_counts(rest, n))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, found = [], []
+            for i, own in enumerate(text_sets(batch.column(3), n)):
+                size = len(own) - -(-least[0] * len(own) // least[1]) + 1
+                order = np.lexsort((own, counts.value[(own % np.uint64(SLOTS)).astype(np.int64)]))[:size]
+                take.append(np.full(len(order), i))
+                found.append(own[order].view(np.int64))
+            if found:
+                rows = batch.select([0, 1, 2]).take(pa.array(np.concatenate(take)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *rows.columns], ["s", "k", "n", "comp"])
+
+    return rest.select("k", "n", "comp", "text").mapInArrow(first, "s long, k binary, n long, comp binary")
+
+
 def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """key, h (hash of the text), n_shingles and component_id of each row."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = written(sketch(docs, key, text, n), "sketches")
     # of each class one text to read again, by id and hash, and the smallest id
     pick = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("h").alias("h"))).alias("pick")
@@ -186,56 +229,61 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     bands = classes.select("k", "n", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "regs").select("k", "n", "band", F.expr(f"substring(regs, band * {ROWS} + 1, {ROWS})").alias("value"))
     shared = bands.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1")
     buckets = written(bands.join(shared.select("band", "value"), ["band", "value"]), "buckets")
+    tables = [rows, classes, buckets]
+    comps, links, tried, texts = None, None, None, None
 
-    def placed(comps: DataFrame | None) -> DataFrame:
+    def placed() -> DataFrame:
         """Members of buckets with their components so far."""
         if comps is None:
             return buckets.withColumn("comp", F.col("k"))
-        return buckets.join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+        out = written(buckets.join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k")), "members")
+        tables.append(out)
+        return out
+
+    def read_texts(needed: DataFrame) -> DataFrame:
+        """(k, text) of the needed classes, from the documents; what was read before stays."""
+        if texts is not None:
+            needed = needed.join(texts, "k", "left_anti")
+        where = classes.join(needed, "k").select("k", F.col("pick.key").alias("key"), F.col("pick.h").alias("h"))
+        found = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).alias("d").join(where.alias("w"), F.expr("d.h = w.h AND d.key <=> w.key")).select("k", "text").dropDuplicates(["k"])
+        tables.append(written(found, "texts"))
+        return tables[-1] if texts is None else texts.unionByName(tables[-1])
 
     fits = lambda x, y: (F.least(x, y) * least[1] >= F.greatest(x, y) * least[0])
-    comps, links, tried, tables, texts = None, None, None, [rows, classes, buckets], None
+    apart = (F.col("comp") != F.col("compb")) & fits(F.col("n"), F.col("nb"))
     for turn in range(TURNS + 1):
-        members = placed(comps)
-        if turn:
-            members = written(members, "members")
-            tables.append(members)
+        members = placed()
         if turn < TURNS:
             order = F.col("k") if not turn else F.xxhash64("k", "band")
             chosen = members.groupBy("band", "value").agg(F.min(F.struct(order.alias("order"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("compb"))).alias("one"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             chosen = chosen.where("lo != hi").select("band", "value", "one.b", "one.nb", "one.compb")
-            pairs = members.join(chosen, ["band", "value"]).where((F.col("comp") != F.col("compb")) & fits(F.col("n"), F.col("nb"))).select(F.col("k").alias("a"), "b")
+            pairs = members.join(chosen, ["band", "value"]).where(apart).select(F.col("k").alias("a"), "b")
         else:
-            mixed_in = members.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band", "value")
-            left = members.join(mixed_in, ["band", "value"])
-            right = left.select("band", "value", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("compb"))
-            pairs = left.join(right, ["band", "value"]).where((F.col("comp") != F.col("compb")) & (F.col("k") < F.col("b")) & fits(F.col("n"), F.col("nb"))).select(F.col("k").alias("a"), "b")
+            several = members.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band", "value")
+            left = members.join(several, ["band", "value"]).select("k", "n", "comp").distinct()
+            texts = read_texts(left.select("k"))
+            rest = written(left.join(texts, "k"), "rest")
+            lists = written(prefixes(rest, n, least), "prefixes")
+            tables += [rest, lists]
+            again = lists.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("s")
+            own = lists.join(again, "s")
+            other = own.select("s", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("compb"))
+            pairs = own.join(other, "s").where(apart & (F.col("k") < F.col("b"))).select(F.col("k").alias("a"), "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         likely = written(estimated(pairs, classes, least), "likely")
-        tables += [pairs, likely]
-        needed = likely.select(F.col("a").alias("k")).unionByName(likely.select(F.col("b").alias("k"))).distinct()
-        if texts is not None:
-            needed = needed.join(texts, "k", "left_anti")
-        where = classes.join(needed, "k").select("k", F.col("pick.key").alias("key"), F.col("pick.h").alias("h"))
-        found = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).alias("d").join(where.alias("w"), F.expr("d.h = w.h AND d.key <=> w.key")).select("k", "text").dropDuplicates(["k"])
-        found = written(found, "texts")
-        tables.append(found)
-        texts = found if texts is None else texts.unionByName(found)
+        texts = read_texts(likely.select(F.col("a").alias("k")).unionByName(likely.select(F.col("b").alias("k"))).distinct())
         new = written(verified(likely, texts, n, least), "links")
-        tables.append(new)
+        tables += [pairs, likely, new]
         links = new if links is None else links.unionByName(new)
-        if comps is not None:
-            tables.append(comps)
         comps = components(links)
+        tables.append(comps)
 
     low = comps.join(classes.select("k", "pick.key"), "k").groupBy("comp").agg(F.min("key").alias("low"))
     ids = written(classes.select("k", "pick.key").join(comps.join(low, "comp").select("k", "low"), "k", "left").select("k", F.coalesce("low", "key").alias("component_id")), "components")
     out = written(rows.select("key", "h", "n", "k").join(ids, "k", "left").select(F.col("key").alias(key), "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")), "rows")
-    forget(*tables, comps, ids)
+    forget(*tables, ids)
     return out
 
 
