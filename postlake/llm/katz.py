@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import mixed, remainder, small_batches, written
+from postlake.llm.common import fresh_path, mixed, remainder, small_batches, written
 from postlake.llm.shingles import parts, words
 
 BLOCK = 1 << 20
@@ -60,9 +60,9 @@ def unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw, "<u8"), dtype=np.uint64)
 
 
-def slices(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's keys begin among sorted ones (and the last end)."""
-    edges = (np.arange(1, buckets, dtype=np.uint64)) * np.uint64(2**64 // buckets)
+def slices(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Where each bucket's keys of so many bits begin among sorted ones (and the last end)."""
+    edges = (np.arange(1, buckets, dtype=np.uint64)) * np.uint64(2**bits // buckets)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
@@ -127,11 +127,11 @@ class Block:
             out[start] = (~self.held & (self.before == start)).sum()
         return out
 
-    def pairs(self) -> None:
+    def pairs(self, bits: int) -> None:
         codes, inverse = np.unique(self.history * len(self.words) + self.tokens, return_inverse=True)
         h, w = codes // len(self.words), codes % len(self.words)
         with np.errstate(over="ignore"):
-            keys = mixed(mixed(self.words[h]) * PAIR + self.words[w])
+            keys = mixed(mixed(self.words[h]) * PAIR + self.words[w]) >> np.uint64(64 - bits)
         order = np.argsort(keys, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -141,15 +141,15 @@ class Block:
         return np.bincount(self.pair_of[self.train], minlength=len(self.pair_keys))
 
 
-def sent(batches: Iterator[pa.RecordBatch], buckets: int, pairs: bool) -> Iterator[pa.RecordBatch]:
+def sent(batches: Iterator[pa.RecordBatch], buckets: int, pairs: bool, bits: int) -> Iterator[pa.RecordBatch]:
     """What each block sends to the buckets: its sorted words (or pairs) and their training counts."""
     for batch in batches:
         for row in batch.to_pylist():
             b = Block(row["words"], row["tokens"], row["at"], row["before"], row["held"])
             if pairs:
-                b.pairs()
+                b.pairs(bits)
             keys, counts = (b.pair_keys, b.pair_counts()) if pairs else (b.words, b.word_counts())
-            cut = slices(keys, buckets)
+            cut = slices(keys, buckets, bits if pairs else 64)
             full = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), row["block"])), pa.array([pack_keys(keys[cut[i] : cut[i + 1]]) for i in full], pa.binary()), pa.array([pack(counts[cut[i] : cut[i + 1]], "<u4") for i in full], pa.binary())], ["bucket", "block", "keys", "counts"])
 
@@ -234,19 +234,19 @@ def answers(rows: pd.DataFrame, kind: str) -> pd.DataFrame:
     return rows[rows["kind"] == kind].sort_values("bucket")
 
 
-def restored(block: pd.DataFrame, replies: pd.DataFrame) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
+def restored(block: pd.DataFrame, replies: pd.DataFrame, bits: int) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
     """A block with the counts of its words, those of its pairs, and which pairs it owns."""
     row = block.iloc[0]
     b = Block(row["words"], row["tokens"], row["at"], row["before"], row["held"])
-    b.pairs()
+    b.pairs(bits)
     counts = np.concatenate([unpack(v, "<u8") for v in answers(replies, "words")["values"]]).astype(np.int64)
     pairs = np.concatenate([unpack(v, "<u8") for v in answers(replies, "pairs")["values"]]).astype(np.int64)
     return b, counts, pairs >> 1, (pairs & 1).astype(bool)
 
 
-def shares(block: pd.DataFrame, replies: pd.DataFrame, model: Model, buckets: int) -> pd.DataFrame:
+def shares(block: pd.DataFrame, replies: pd.DataFrame, model: Model, buckets: int, bits: int) -> pd.DataFrame:
     """For each history of the pairs that a block owns: what is kept of the pairs' counts, and the sum of P(w)."""
-    b, counts, pairs, owned = restored(block, replies)
+    b, counts, pairs, owned = restored(block, replies, bits)
     use = owned & (pairs >= LEAST_PAIR)
     kept = np.bincount(b.pair_h[use], model.pair(pairs[use]), len(b.words))
     lower = np.bincount(b.pair_h[use], model.word(counts[b.pair_w[use]]), len(b.words))
@@ -277,9 +277,9 @@ def weighted(counts: pd.DataFrame, parts_of: pd.DataFrame, model: Model) -> pd.D
     return pd.DataFrame(out, columns=["bucket", "block", "values", "below"])
 
 
-def scored(block: pd.DataFrame, replies: pd.DataFrame, model: Model) -> pd.DataFrame:
+def scored(block: pd.DataFrame, replies: pd.DataFrame, model: Model, bits: int) -> pd.DataFrame:
     """Sums over the tokens of each text of a block."""
-    b, counts, pairs, _ = restored(block, replies)
+    b, counts, pairs, _ = restored(block, replies, bits)
     weights = answers(replies, "weights")
     backoff = np.concatenate([unpack(v, "<f8") for v in weights["values"]])
     below = np.concatenate([unpack(v, "<u8") for v in weights["below"]]).astype(np.int64)
@@ -301,7 +301,16 @@ def stats_of(table: DataFrame) -> np.ndarray:
 def corpus(docs: DataFrame, held: Column, key: str, text: str, size: int) -> DataFrame:
     rows = docs.select(F.col(key).alias("key"), held.alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
-    return written(rows.mapInArrow(lambda b: blocked(b, size), BLOCKS.format(kind=kind)), "blocks")
+    return bucketed(rows.mapInArrow(lambda b: blocked(b, size), BLOCKS.format(kind=kind)), "block", "blocks")
+
+
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by a column, so that grouping by it moves no row of it again."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -311,9 +320,12 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = corpus(docs, held, key, text, block)
     kind = docs.schema[key].dataType.simpleString()
+    # pairs are hashed to so many bits that few of them, if any, can share a key: their number squared is below 2 ** (bits + 2)
+    tokens = blocks.agg(F.sum(F.element_at("at", -1))).first()[0] or 1
+    bits = min(64, max(40, 2 * int(tokens).bit_length() - 2))
 
     def counts_of(pairs: bool, name: str) -> DataFrame:
-        parts_of = blocks.select("block", "words", "tokens", "at", "before", "held").mapInArrow(lambda b: sent(b, buckets, pairs), SENT)
+        parts_of = blocks.select("block", "words", "tokens", "at", "before", "held").mapInArrow(lambda b: sent(b, buckets, pairs, bits), SENT)
         return written(parts_of.groupBy("bucket").applyInPandas(lambda rows: added(rows, pairs), ADDED), name)
 
     counted = [counts_of(False, "word-counts"), counts_of(True, "pair-counts")]
@@ -321,10 +333,10 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
 
     replies = [t.where("block >= 0").select("block", F.lit(name).alias("kind"), "bucket", "values", F.lit(None).cast("binary").alias("below")) for t, name in zip(counted, ("words", "pairs"), strict=True)]
     by_block = lambda x: x.groupBy("block")
-    shared = by_block(blocks).cogroup(by_block(replies[0].unionByName(replies[1]))).applyInPandas(lambda b, r: shares(b, r, model, buckets), "bucket int, block long, keys binary, kept binary, lower binary")
+    shared = by_block(blocks).cogroup(by_block(replies[0].unionByName(replies[1]))).applyInPandas(lambda b, r: shares(b, r, model, buckets, bits), "bucket int, block long, keys binary, kept binary, lower binary")
     weights = written(counted[0].groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInPandas(lambda c, s: weighted(c, s, model), "bucket int, block long, values binary, below binary"), "weights")
     replies.append(weights.where("block >= 0").select("block", F.lit("weights").alias("kind"), "bucket", "values", "below"))
-    pieces = by_block(blocks).cogroup(by_block(replies[0].unionByName(replies[1]).unionByName(replies[2]))).applyInPandas(lambda b, r: scored(b, r, model), f"uid long, key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    pieces = by_block(blocks).cogroup(by_block(replies[0].unionByName(replies[1]).unionByName(replies[2]))).applyInPandas(lambda b, r: scored(b, r, model, bits), f"uid long, key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     whole = pieces.groupBy("uid", "key", "held_out").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return whole.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
