@@ -87,4 +87,17 @@ BOARD_DOMAINS = ["linkedin.com", "indeed.com", "glassdoor.com", "remotive.com",
 COMMON_TECH = ["python", "javascript", "typescript", "react", "node", "aws", "docker", "kubernetes", "sql", "git", "java", "go", "rust"]
 SENIORITY_STEPS = {"intern": 0, "junior": 1, "mid_level": 2, "senior": 3, "staff": 4, "principal": 5, "lead": 5, "manager": 6, "director": 7, "vp": 8, "executive": 9}
 QUERY_STOP_WORDS = ["engineer", "developer", "remote", "job", "jobs", "role", "roles"]
+WORLDWIDE = [r"\bworldwide\b", r"\bglobal(?:ly)?\s+(?:team|company|hiring|remote|position)\b", r"\banywhere\b", r"\bwork\s+from\s+anywhere\b", r"\b100%\s*remote\b", r"\bfully\s+remote\b", r"\bremote\s+first\b", r"\bremote\s+-\s+global\b", r"\bno\s+location\s+(?:restriction|requirement|limit)\b", r"\bopen\s+to\s+(?:all|everyone|global)\b", r"\binternational\s+(?:team|hiring|remote)\b"]
+HIRES_IN_INDIA = [r"\bindia\b", r"\bindian\s+(?:applicants?|candidates?|developers?|engineers?|professionals?)\b", r"\bhiring\s+(?:from|in)\s+india\b", r"\basia\s+(?:pac(?:ific)?|timezone)\b", r"\b(?:ist|gmt\s*\+5:?30)\b", r"\b(?:bangalore|bengaluru|mumbai|pune|hyderabad|chennai|delhi|gurgaon|noida)\b"]
+LOCAL_ONLY = [r"\bin\s+our\s+(?:office|headquarters?|location)\b", r"\bhybrid\s+(?:work|model|mode)\b", r"\bonsite\b", r"\b(?:must|required)\s+to\s+(?:be\s+)?(?:based|located)\s+in\b"]
+ZONES = r"\b(?:gmt|utc)\s*[+-]\d{1,2}"
+SUSPICIOUS_NAMES = [r"test\s+company", r"example\s+corp", r"dummy\s+inc", r"unknown", r"anon(?:ymous)?", r"sample\s+firm", r"temp\s+agency"]
+LEGITIMATE_SIGNALS = [r"\b(?:apply|application|requirement|qualification|responsibilit)", r"\b(?:email|resume|cv|portfolio|github|linkedin)\b", r"\b(?:experience|skill|technology|stack|tool)\b", r"\b(?:benefit|salary|compensation|equity|stock)\b", r"\b(?:team|culture|mission|vision|value)\b"]
+AUTH_CHALLENGES = [r"sign\s*in", r"log\s*in", r"login", r"signin", r"authenticate", r"captcha", r"recaptcha", r"hcaptcha", r"turnstile", r"challenge", r"access denied", r"accessdenied", r"blocked", r"too many requests", r"rate.li", r"cf-ray", r"cf-browser-verification", r"just a moment", r"checking your browser", r"verifying you are human", r"are you a robot", r"please verify", r"_cf_challenge", r"robot.or.human"]
+ADAPTER_SPAM = ["bitcoin", "crypto", "forex", "mlm", "pyramid", "guarantee", "no experience needed"]
+SENIORITY_PATTERNS = [("intern", r"\bintern\b|\btrainee\b|\bapprentice\b"), ("junior", r"\bjunior\b|\bentry[\s-]?level\b|\bgraduate\b|\bnew grad\b"), ("senior", r"\bsenior\b|\bsr\.?\b|staff|\bprincipal\b"), ("lead", r"\blead\b|\bhead of\b"), ("manager", r"\bmanager\b"), ("director", r"\bdirector\b"), ("vp", r"\bvp\b|\bvice president\b"), ("executive", r"\bexecutive\b|\bcto\b|\bceo\b|\bcfo\b")]
+FAKE_SIGNALS = [r"earn \$?\d+k?/?(?:day|week)", r"no experience needed.*(?:high|great) pay", r"work from home.*\$?\d+k", r"click here to apply", r"apply.*now.*limited", r"bit\.ly|tinyurl|shortlink", r"make money fast", r"immediate start.*no experience", r"unlimited earning potential", r"be your own boss", r"copy and paste"]
+JOB_TYPES = {"full-time": "full_time", "full time": "full_time", "part-time": "part_time", "part time": "part_time", "contract": "contract", "internship": "internship", "freelance": "freelance", "temporary": "temporary"}
+CERTIFICATES = ["aws certified", "aws solutions architect", "aws developer", "aws sysops", "azure certified", "azure administrator", "azure developer", "gcp certified", "google cloud certified", "pmp", "project management professional", "scrum master", "csm", "cspo", "agile certified", "ccna", "ccnp", "ccie", "cisco", "cissp", "ceh", "google cloud professional", "microsoft certified", "oracle certified", "salesforce certified", "kubernetes certified", "cka", "ckad", "docker certified", "red hat certified", "tableau certified", "power bi certified"]
+CV_YEARS = [r"(\d+(?:\.\d+)?)\+?\s*years?\s*(?:of\s*)?(?:experience|work|professional\s*experience)", r"(\d+(?:\.\d+)?)\s*years?\s*(?:of\s*)?(?:total\s*)?experience", r"experience\s*:\s*(\d+(?:\.\d+)?)\+?\s*years?", r"total\s*experience\s*:\s*(\d+(?:\.\d+)?)\+?\s*years?", r"(\d+(?:\.\d+)?)\s*years?\s*of\s*professional\s*experience"]
 # End of fixed values.

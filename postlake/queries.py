@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from postlake import bindings as B
 from postlake import dictionaries as D
 from postlake.functions import classify as C
+from postlake.functions import enrich as E
 from postlake.functions import numbers as N
 from postlake.functions import text as T
 from postlake.operators import analytics as A
@@ -536,3 +537,51 @@ def fuzzy_title_pairs(spark, sf):
 def incremental_new(spark, sf):
     p = postings(spark, sf)
     return dedup.without_known(p.where("is_active"), p.where("NOT is_active"), "external_id").select("doc_id")
+
+
+# ---- enrichment
+
+
+def count_sql(expr: str, patterns: list[str]) -> str:
+    return "(" + " + ".join(f"regexp_matches(lower({expr}), {lit(p)})::INT" for p in patterns) + ")"
+
+
+@query(f"SELECT page_id, {count_sql('substr(html, 1, 5000)', D.AUTH_CHALLENGES)} >= 2 AS is_wall FROM pages")
+def auth_walls(spark, sf):
+    return B.table(spark, sf, "pages").select("page_id", E.auth_wall(F.col("html")).alias("is_wall"))
+
+
+PHRASE_COUNT = lambda e: "(" + " + ".join(f"contains(lower({e}), {lit(p)})::INT" for p in D.ADAPTER_SPAM) + ")"
+WORLD = f"({hits(TDL, D.WORLDWIDE)} OR {hits(TDL, D.HIRES_IN_INDIA)} OR ({hits(TDL, [r'\bremote\b'])} AND NOT {hits(TDL, D.LOCAL_ONLY)}) OR len(regexp_extract_all(lower({TDL}), {lit(D.ZONES)})) >= 2)"
+LEGIT = f"(NOT {hits('company', D.SUSPICIOUS_NAMES)} AND NOT (NOT regexp_matches(description, '(?i)https?://\\S+') AND len(list_filter(string_split_regex(description, '\\s+'), lambda w: w <> '')) < 50) AND {count_sql('description', D.LEGITIMATE_SIGNALS)} >= 2)"
+GUESS = case([(f"regexp_matches(lower({TDL}), {lit(p)})", lit(s)) for s, p in D.SENIORITY_PATTERNS], "'unknown'")
+WHERE = case([(hits(TDL, [r"\bremote\b", r"\bworldwide\b", r"\banywhere\b", r"\bglobal\b"]), "'fully_remote'"), (hits(TDL, [r"\bhybrid\b"]), "'hybrid'")], "'unknown'")
+
+
+@query(
+    P
+    + f"SELECT doc_id, round(least(1.0::DOUBLE, {PHRASE_COUNT('title')} * 0.25::DOUBLE + {PHRASE_COUNT('description')} * 0.15::DOUBLE), 4) AS spam, {WORLD} AS worldwide, {LEGIT} AS legitimate, CASE WHEN seniority <> 'unknown' THEN seniority ELSE {GUESS} END AS seniority, CASE WHEN remote_type <> 'unknown' THEN remote_type ELSE {WHERE} END AS remote_type, {count_sql(TDL, D.FAKE_SIGNALS)} >= 2 AS fake, title <> '' AND company <> '' AND url <> '' AS valid FROM p"
+)
+def enriched(spark, sf):
+    t, d, c, l, u = (F.col(x) for x in ("title", "description", "company", "location", "url"))
+    text = T.joined(t, d, l)
+    return postings(spark, sf).select("doc_id", F.round(E.spam_score(t, d), 4).alias("spam"), E.hires_worldwide(t, d, l).alias("worldwide"), E.is_legitimate(c, d).alias("legitimate"), E.enriched_seniority(F.col("seniority"), text).alias("seniority"), E.enriched_remote(F.col("remote_type"), text).alias("remote_type"), E.looks_fake(text).alias("fake"), E.is_valid(t, c, u).alias("valid"))
+
+
+@query()
+def cv_match_analysis(spark, sf):
+    m = cv_match(spark, sf)
+    return m.select("cv_id", "doc_id", "score", E.match_band(F.col("score")).alias("band"))
+
+
+@query(P + "SELECT source, count_if(salary <> '')::BIGINT AS paid, count(DISTINCT company) AS companies, count(DISTINCT date_trunc('month', posted_at)) AS months, max(posted_at) AS newest FROM p WHERE is_active GROUP BY 1")
+def source_summary(spark, sf):
+    return postings(spark, sf).where("is_active").groupBy("source").agg(F.count_if(F.col("salary") != "").alias("paid"), F.countDistinct("company").alias("companies"), F.countDistinct(F.date_trunc("month", "posted_at")).alias("months"), F.max("posted_at").alias("newest"))
+
+
+@query("SELECT c_custkey AS user_id, CASE WHEN c_acctbal > 5000 THEN 'pro' ELSE 'free' END AS plan, CASE WHEN max(o_orderdate) + INTERVAL 365 DAY >= TIMESTAMP '2001-08-02' THEN 'active' ELSE 'expired' END AS status, max(o_orderdate)::DATE + 365 AS expires FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_acctbal")
+def subscription_status(spark, sf):
+    last = B.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
+    ends = F.date_add(F.col("last").cast("date"), 365)
+    until = F.col("last") + F.make_dt_interval(F.lit(365)) >= F.lit("2001-08-02 00:00:00").cast("timestamp_ntz")
+    return B.table(spark, sf, "customer").join(last, "c_custkey").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_acctbal") > 5000, "pro").otherwise("free").alias("plan"), F.when(until, "active").otherwise("expired").alias("status"), ends.cast("date").alias("expires"))

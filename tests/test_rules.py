@@ -136,3 +136,18 @@ def test_readers(spark, tmp_path):
     assert (r.title, r.description) == ("A page", "A page Text & more")
     [r] = readers.read_comments(spark.createDataFrame([("Acme | Dev | Berlin\nnothing",)], "body string"), "hn").collect()
     assert (r.company, r.title, r.location) == ("Acme", "Dev", "Berlin")
+
+
+def test_enrichment(spark):
+    from postlake.functions import enrich as E
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(E.cv_years(F.lit("Engineer with 2.5+ years of professional experience"))) == 2
+    assert one(E.cv_years(F.lit("total experience: 7 years"))) == 7
+    assert one(E.mentioned(F.lit("AWS Certified, Scrum Master"), ["aws certified", "scrum master", "pmp"])) == ["aws certified", "scrum master"]
+    assert one(E.auth_wall(F.lit("<h1>Please log in</h1> solve the captcha"))) is True
+    assert one(E.auth_wall(F.lit("jobs"), F.lit(403))) is True
+    assert one(E.job_type(F.lit("Full-Time "))) == "full_time"
+    assert one(E.experience_fit(F.lit(4), F.lit(3), F.lit(5))) == "high"
+    assert one(E.experience_fit(F.lit(1), F.lit(5), F.lit(8))) == "low"
+    assert one(E.is_legitimate(F.lit("Stripe"), F.lit(""), ["stripe"])) is True
