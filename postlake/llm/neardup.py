@@ -290,10 +290,13 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of docs of which one stays for each component: that with the smallest id (of repeats, one). Rows without words all stay."""
     ids = component_ids(docs, key, text, n, least)
-    keep = ids.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k"), F.col("h").alias("_h"), "n_shingles", "component_id")
-    once = keep.where("n_shingles > 0 AND _k IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("_k", "_h")).alias("one")).select("one._k", "one._h").unionByName(keep.where("n_shingles = 0 OR _k IS NULL").select("_k", "_h").distinct())
-    joined = docs.join(once, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_h"))).drop("_k", "_h")
-    return joined.dropDuplicates()
+    keep = ids.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("k"), "h", "n_shingles", "component_id")
+    named = (F.col("n_shingles") > 0) & F.col("k").isNotNull()
+    once = keep.where(named).groupBy("component_id").agg(F.min(F.struct("k", "h")).alias("one")).select("one.k", "one.h").unionByName(keep.where(~named).select("k", "h"))
+    # one number for a row's id and text, so that joining and dropping repeats share one shuffle of the texts
+    row = "row_" + "_".join(docs.columns)[:40]
+    marked = docs.withColumn(row, F.xxhash64(key, F.xxhash64(text)))
+    return marked.join(once.select(F.xxhash64("k", "h").alias(row)).distinct(), row).dropDuplicates([row]).drop(row)
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
