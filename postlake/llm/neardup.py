@@ -17,7 +17,8 @@ Steps 3 to 5 run in turns. First each bucket compares its members with one of th
 buckets where possible, then another for each band), which joins groups of many near copies without listing
 their pairs. What is left are members of buckets that hold several components by then. Pairs of these are found
 exactly, by prefix filtering: in any one order of shingles, two sets at the threshold share one of the first
-n - ceil(t * n) + 1 of each. The order puts seldom shingles first (by counts in SLOTS slots of their hashes, a
+n - ceil(t * n) + 1 of each (fewer of the smaller set), and what follows the first one shared bounds how many
+they share. The order puts seldom shingles first (by counts in SLOTS slots of their hashes, a
 table of fixed size), so a passage that many documents share joins no pairs. No link between components is lost.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and kept; texts
@@ -200,22 +201,23 @@ def slot_counts(rest: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(rest: DataFrame, n: int, least: tuple[int, int]) -> DataFrame:
-    """(s, k, n, comp): for each text the hashes of its first shingles, seldom slots first."""
+    """(s, place, k, n, comp): for each text the hashes of its first shingles, seldom slots first, and their places from 1."""
     counts = rest.sparkSession.sparkContext.broadcast(slot_counts(rest, n))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, found = [], []
+            take, found, places = [], [], []
             for i, own in enumerate(text_sets(batch.column(3), n)):
                 size = len(own) - -(-least[0] * len(own) // least[1]) + 1
                 order = np.lexsort((own, counts.value[(own % np.uint64(SLOTS)).astype(np.int64)]))[:size]
                 take.append(np.full(len(order), i))
                 found.append(own[order].view(np.int64))
+                places.append(np.arange(1, len(order) + 1))
             if found:
                 rows = batch.select([0, 1, 2]).take(pa.array(np.concatenate(take)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *rows.columns], ["s", "k", "n", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(places)), *rows.columns], ["s", "place", "k", "n", "comp"])
 
-    return rest.select("k", "n", "comp", "text").mapInArrow(first, "s long, k binary, n long, comp binary")
+    return rest.select("k", "n", "comp", "text").mapInArrow(first, "s long, place long, k binary, n long, comp binary")
 
 
 def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -267,8 +269,13 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
             tables += [rest, lists]
             again = lists.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("s")
             own = lists.join(again, "s")
-            other = own.select("s", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("compb"))
-            pairs = own.join(other, "s").where(apart & (F.col("k") < F.col("b"))).select(F.col("k").alias("a"), "b")
+            other = own.select("s", F.col("place").alias("placeb"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("compb"))
+            # no more is shared than the first shared shingle and what follows it on either side; the smaller set's own size bounds that already
+            enough = lambda follow, both: (1 + follow) * sum(least) >= least[0] * both
+            smaller = own.where(enough(F.col("n") - F.col("place"), 2 * F.col("n")))
+            ordered = F.struct("n", "k") < F.struct("nb", "b")
+            bounded = enough(F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("placeb")), F.col("n") + F.col("nb"))
+            pairs = smaller.join(other, "s").where(apart & ordered & bounded).select(F.col("k").alias("a"), "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
