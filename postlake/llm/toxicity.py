@@ -107,15 +107,14 @@ def windows(values: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Trains embeddings and softmax on labelled texts."""
-    y = np.array(labels, np.float64)
-    lists = [tokens(t) for t in texts]
-    used = np.array([bool(x) for x in lists], bool)
-    y, lists = y[used], [x for x in lists if x]
+    y, names = np.array(labels, np.float64), {}
+    # of each text the numbers of its words only, so that the driver never holds all words as strings
+    ids = [np.fromiter((names.setdefault(w, len(names)) for w in tokens(t)), np.int32) for t in texts]
+    used = np.array([len(x) > 0 for x in ids], bool)
+    y, ids = y[used], [x for x in ids if len(x)]
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.25) / (len(y) + 1)
         return Model(np.zeros(BUCKETS), math.log(share / (1 - share)))
-    names: dict[str, int] = {}
-    ids = [np.fromiter((names.setdefault(w, len(names)) for w in x), np.int32, len(x)) for x in lists]
     words = list(names)
     some = [subwords(words[i : i + 10_000]) for i in range(0, len(words), 10_000)]
     rows, sizes = np.concatenate([r for r, _ in some]), np.concatenate([np.diff(b) for _, b in some])
@@ -139,22 +138,23 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
     flat = np.concatenate(ids)
     at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-    owner = np.repeat(np.arange(len(ids)), np.diff(at))
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(at))
     width = np.minimum(np.diff(at), WIDTH)
     fits = np.arange(len(flat)) + width[owner] <= at[owner + 1]
     first = np.flatnonzero(fits)
-    texts_at = np.searchsorted(owner[first], np.arange(len(ids)))
+    owner_of, width_of = owner[first], width[owner[first]].astype(np.int32)
+    texts_at = np.searchsorted(owner_of, np.arange(len(ids)))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     squares = [np.full_like(embed, 1e-6), np.full_like(soft, 1e-6), np.full_like(bias, 1e-6)]
     for _ in range(ROUNDS):
         line = embed @ soft.astype(np.float32)
         value = np.add.reduceat((line[:, 1] - line[:, 0])[rows], begins[:-1]) / sizes
         sums = np.concatenate([[0.0], np.cumsum(value[flat])])
-        mean = (sums[first + width[owner[first]]] - sums[first]) / width[owner[first]]
+        mean = (sums[first + width_of] - sums[first]) / width_of
         best = np.maximum.reduceat(mean, texts_at)
         # the first window of each text that reaches its best
-        top = np.flatnonzero(mean == best[owner[first]])
-        top = first[top[np.unique(owner[first[top]], return_index=True)[1]]]
+        top = np.flatnonzero(mean == best[owner_of])
+        top = first[top[np.unique(owner_of[top], return_index=True)[1]]]
         error = (logistic(best + bias[1] - bias[0]) - y) * weight / len(y)
 
         place = np.repeat(top, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
