@@ -1,9 +1,9 @@
 """Language-model scoring by Katz backoff (operator 8).
 
-A bigram model: P(w | h) is the Good-Turing discounted share of w after h where the pair was seen often enough,
+A bigram model: P(w | h) is the Good-Turing discounted share of w after h where the pair was seen, be it once,
 else backoff(h) * P(w); P(w) is the discounted share of w, and what discounting leaves is the probability of the
 one unknown word. Backoff weights are normalised exactly: for every history the probabilities of all known words
-and the unknown one sum to 1. Pairs seen fewer than ``LEAST_PAIR`` times count as unseen, as toolkits do.
+and the unknown one sum to 1.
 
 The corpus is kept as blocks: tables of the distinct words (64-bit hashes) of about BLOCK tokens, and the tokens
 as places in them. Blocks send their distinct words and pairs with counts, sorted and packed, to buckets of the
@@ -35,7 +35,7 @@ from postlake.llm.shingles import parts, words
 
 BLOCK = 1 << 20
 START, END = np.uint64(1), np.uint64(2)
-DISCOUNTED, LEAST_PAIR = 5, 2
+DISCOUNTED, LEAST_PAIR = 5, 1
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -226,7 +226,7 @@ class Model:
         return np.where(counts > 0, self.kept(counts, self.word_discounts) * self.scale, self.unknown)
 
     def pair(self, counts: np.ndarray) -> np.ndarray:
-        """What is kept of pair counts; 0 for those that count as unseen."""
+        """What is kept of pair counts; 0 for unseen ones."""
         return np.where(counts >= LEAST_PAIR, self.kept(counts, self.pair_discounts), 0.0)
 
 

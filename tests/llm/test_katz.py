@@ -91,3 +91,12 @@ def test_query_beats_the_base(spark):
     for g, w in zip(sorted((str(g[0]), *g[1:]) for g in got), want, strict=True):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
     assert sum(g.score for g in got if g.held_out) > sum(g.base_score for g in got if g.held_out)
+
+
+def test_pairs_seen_once_count(spark, monkeypatch):
+    rows = corpus(120, seed=9)
+    got = katz.score(spark.createDataFrame(rows, SCHEMA).repartition(3), remainder(katz.F.col("doc_id"), 7) == 2, block=64).collect()
+    monkeypatch.setattr(katz, "LEAST_PAIR", 1)  # for brute(): no cut-off, whatever the module has
+    want = brute(rows)[0]
+    for g, w in zip(sorted((str(g[0]), *g[1:]) for g in got), want, strict=True):
+        assert g[:5] == w[:5] and g[6] == pytest.approx(w[6], rel=1e-9)
