@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from postlake.functions.text import normal_text, signature
+from postlake.functions.text import normal_text, signature, standard_company, standard_title
 
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -91,12 +91,50 @@ def near_pairs(postings: DataFrame, least: float = 0.9) -> DataFrame:
     return pairs.select("doc_id", F.col("doc_id2").alias("other_id"), (ratio("t", "t2") * 0.5 + ratio("c", "c2") * 0.3 + described * 0.2).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def with_members(rows: DataFrame, keys: list[str], pairs: DataFrame) -> DataFrame:
+    """(doc_id, representative, other_id, similarity): a row for each of the rows, with the least id of those whose keys are the same (other_id and similarity are null), and a row for each pair of representatives."""
+    least = rows.groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(F.min("doc_id").alias("representative"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    members = rows.join(least, same).select("doc_id", "representative", F.lit(None).cast("long").alias("other_id"), F.lit(None).cast("double").alias("similarity"))
+    return members.unionByName(pairs.select("doc_id", F.col("doc_id").alias("representative"), "other_id", "similarity"))
+
+
+FUZZY_KEYS = ["source", "l", "c"]
+
+
+def fuzzy_rows(postings: DataFrame) -> DataFrame:
+    """What fuzzy pairs compare: the title in lower case and in standard form, and the company in standard form."""
+    return postings.select("doc_id", "source", F.lower(F.col("title")).alias("l"), standard_title(F.col("title")).alias("t"), standard_company(F.col("company")).alias("c"))
+
+
+def title_pairs(titles: DataFrame) -> DataFrame:
+    """Pairs (l, t, l2, t2; l <= l2) of distinct titles where one holds the first twenty letters of the other's standard form, if that has five letters or more. They meet on pieces of 20, 10 or 5 letters: the longest that the beginning fills, at any place of the other title."""
+    start = F.substring("t", 1, 20)
+    size = F.when(F.length(start) >= 20, 20).when(F.length(start) >= 10, 10).otherwise(5)
+    a = titles.where(F.length("t") >= 5).select("l", "t", start.alias("start"), F.substring(start, F.lit(1), size).alias("piece"))
+    pieces = lambda n: F.when(F.length("l") >= n, F.transform(F.sequence(F.lit(1), F.length("l") - n + 1), lambda i: F.substring(F.col("l"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    b = titles.select(F.col("l").alias("l2"), F.col("t").alias("t2"), F.explode(F.array_distinct(F.concat(*map(pieces, (5, 10, 20))))).alias("piece"))
+    held = a.join(b, "piece").where(F.col("l2").contains(F.col("start")))
+    both = F.array_sort(F.array(F.struct("l", "t"), F.struct(F.col("l2").alias("l"), F.col("t2").alias("t"))))
+    return held.select(both.alias("p")).distinct().select(*(F.col("p")[i][x].alias(x + n) for i, n in ((0, ""), (1, "2")) for x in ("l", "t")))
+
+
 def fuzzy_pairs(postings: DataFrame, least: float = 0.85) -> DataFrame:
-    """(doc_id, other_id, similarity) of distinct titles at different sources whose first twenty letters agree: 0.7 of the token-set and 0.3 of the plain ratio."""
-    one = postings.select("doc_id", "source", normal_text(F.col("title")).alias("t")).where("t != ''").groupBy("source", "t").agg(F.min("doc_id").alias("doc_id")).withColumn("block", F.substring("t", 1, 20))
-    b = one.select("block", F.col("doc_id").alias("other_id"), F.col("source").alias("source2"), F.col("t").alias("t2"))
-    pairs = one.join(b, "block").where((F.col("doc_id") < F.col("other_id")) & (F.col("source") != F.col("source2")))
-    return pairs.select("doc_id", "other_id", (token_set("t", "t2") * 0.7 + indel("t", "t2") * 0.3).alias("similarity")).where(F.col("similarity") >= least)
+    """(doc_id, other_id, similarity) of distinct postings (source, title, company; the least id of each) at different sources, of which one title holds the beginning of the other: 0.7 of the titles' token-set and 0.3 of the companies' plain ratio. The titles are compared once, and lengths bound the companies' ratio."""
+    one = fuzzy_rows(postings).where("t != ''").groupBy(*FUZZY_KEYS).agg(F.min("doc_id").alias("doc_id"))
+    titles = title_pairs(fuzzy_rows(postings).where("t != ''").select("l", "t").distinct())
+    close = titles.select("l", "l2", token_set("t", "t2").alias("s")).where(F.col("s") * 0.7 + 0.3 >= least - 1e-9)
+    other = one.select(*(F.col(x).alias(f"{x}2") for x in ("doc_id", *FUZZY_KEYS)))
+    bound = F.coalesce(F.try_divide(2.0 * F.least(F.length("c"), F.length("c2")), F.length("c") + F.length("c2")), F.lit(1.0))
+    pairs = one.join(close, "l").join(other, "l2").where((F.col("source") != F.col("source2")) & ((F.col("l") != F.col("l2")) | (F.col("doc_id") < F.col("doc_id2"))) & (F.col("s") * 0.7 + bound * 0.3 >= least - 1e-9))
+    return pairs.select(F.least("doc_id", "doc_id2").alias("doc_id"), F.greatest("doc_id", "doc_id2").alias("other_id"), (F.col("s") * 0.7 + indel("c", "c2") * 0.3).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def fuzzy_with_members(postings: DataFrame, least: float = 0.85) -> DataFrame:
+    """fuzzy_pairs, and each posting with its representative."""
+    return with_members(fuzzy_rows(postings), FUZZY_KEYS, fuzzy_pairs(postings, least))
 
 
 def dot(a: Column, b: Column) -> Column:

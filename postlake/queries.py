@@ -530,7 +530,7 @@ def near_duplicate_pairs(spark, sf):
 
 @query()
 def fuzzy_title_pairs(spark, sf):
-    return dedup.fuzzy_pairs(postings(spark, sf))
+    return dedup.fuzzy_with_members(postings(spark, sf))
 
 
 @query(P + ", s AS (SELECT * FROM p WHERE is_active) SELECT doc_id FROM s WHERE external_id NOT IN (SELECT external_id FROM p WHERE NOT is_active)")
