@@ -489,18 +489,18 @@ def ranking_percentile(spark, sf):
     return ranking.with_percentile(scored)
 
 
-CVS = [(1, ["python", "sql", "aws", "docker", "kubernetes"], 4), (2, ["java", "spring", "sql"], 1), (3, ["react", "typescript", "graphql"], 7), (4, ["go", "rust", "terraform"], None), (5, ["machine learning", "python"], 10)]
+CVS = [(1, ["python", "sql", "aws", "docker", "kubernetes"], ["devops engineer", "site reliability engineer"], 4), (2, ["java", "spring", "sql"], ["backend developer"], 1), (3, ["react", "typescript", "graphql"], ["frontend developer", "full stack developer"], 7), (4, ["go", "rust", "terraform"], [], None), (5, ["machine learning", "python"], ["data scientist"], 10)]
 
 
 def cvs(spark) -> DataFrame:
-    return spark.createDataFrame(CVS, "cv_id int, skills array<string>, years int")
+    return spark.createDataFrame(CVS, "cv_id int, skills array<string>, roles array<string>, years int")
 
 
 @query()
 def cv_match(spark, sf):
     t, d, l = F.col("title"), F.col("description"), F.col("location")
-    p = postings(spark, sf).select("doc_id", "title", "description", F.transform(C.tech_stack(d), F.lower).alias("tech"), C.seniority_tag(t, d).alias("seniority_tag"), C.verified_remote(l, d, t).alias("verified"))
-    return matching.scores(cvs(spark), p)
+    p = postings(spark, sf).where("is_active").withColumn("pay", N.parse_salary(F.col("salary"))).select("doc_id", "title", "description", F.transform(C.tech_stack(d), F.lower).alias("tech"), C.experience_level(t, d).alias("level"), C.seniority_tag(t, d).alias("seniority_tag"), C.verified_remote(l, d, t).alias("verified"), C.region(l, d).alias("region"), "pay.salary_min", "pay.salary_max")
+    return matching.all_scores(cvs(spark), p)
 
 
 @query("""WITH c AS (SELECT o_custkey AS cv_id, count(DISTINCT l_partkey) AS n_tech, count(*) AS n_skills, count(DISTINCT o_orderpriority) AS n_roles, count(DISTINCT l_suppkey) AS n_keywords, count(DISTINCT l_returnflag) AS n_education, count(DISTINCT l_linestatus) AS n_certificates,
