@@ -75,9 +75,14 @@ def token_set(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series(out)
 
 
+def near_rows(postings: DataFrame) -> DataFrame:
+    """What near pairs compare: normalised title, company and beginning of the description."""
+    return postings.select("doc_id", normal_text(F.col("title")).alias("t"), normal_text(F.col("company")).alias("c"), normal_text(F.substring(F.col("description"), 1, 500)).alias("d"))
+
+
 def collapsed(postings: DataFrame) -> DataFrame:
-    """One row for each distinct comparison of postings (normalised title, company and beginning of the description) with its least id and how many it stands for: exact repeats need no comparing."""
-    return postings.select("doc_id", normal_text(F.col("title")).alias("t"), normal_text(F.col("company")).alias("c"), normal_text(F.substring(F.col("description"), 1, 500)).alias("d")).groupBy("t", "c", "d").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """One row for each distinct comparison of postings with its least id and how many it stands for: exact repeats need no comparing, near_with_members says whose repeats they are."""
+    return near_rows(postings).groupBy("t", "c", "d").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
 def near_pairs(postings: DataFrame, least: float = 0.9) -> DataFrame:
@@ -101,6 +106,11 @@ def with_members(rows: DataFrame, keys: list[str], pairs: DataFrame) -> DataFram
     return members.unionByName(pairs.select("doc_id", F.col("doc_id").alias("representative"), "other_id", "similarity"))
 
 
+def near_with_members(postings: DataFrame, least: float = 0.9) -> DataFrame:
+    """near_pairs, and each posting with its representative."""
+    return with_members(near_rows(postings), ["t", "c", "d"], near_pairs(postings, least))
+
+
 FUZZY_KEYS = ["source", "l", "c"]
 
 

@@ -525,7 +525,7 @@ def semantic_pairs(spark, sf):
 
 @query()
 def near_duplicate_pairs(spark, sf):
-    return dedup.near_pairs(postings(spark, sf), 0.75)
+    return dedup.near_with_members(postings(spark, sf), 0.75)
 
 
 @query()

@@ -68,3 +68,32 @@ def test_fuzzy_pairs_and_members_are_those_of_brute_force(spark):
     names = {r.doc_id: (r.l, r.c) for r in rows}
     assert any({names[a][0], names[b][0]} == {"senior devops engineer", "devops engineer"} for a, b in found)
     assert not any({names[a][1], names[b][1]} == {"acme", "globex"} for a, b in found)
+
+
+def test_copies_are_near_duplicates_too(spark):
+    df = spark.createDataFrame(rows_of(60), KIND)
+    one = dedup.near_rows(df).collect()
+    share = lambda x, y: SequenceMatcher(None, x, y).ratio()
+
+    def similarity(a, b):
+        common = bool(set(a.d.split()) & set(b.d.split()))
+        described = 1.0 if not a.d and not b.d else share(a.d, b.d) if common else 0.0
+        return 0.5 * share(a.t, b.t) + 0.3 * share(a.c, b.c) + 0.2 * described
+
+    want = set()
+    for a, b in itertools.combinations(sorted(one), 2):
+        same = (a.t, a.c, a.d) == (b.t, b.c, b.d)
+        if same or (a.t and a.t[:3] == b.t[:3] and set(a.t.split()) & set(b.t.split())):
+            reps = [min(x.doc_id for x in one if x[1:] == y[1:]) for y in (a, b)]
+            first, second = (next(x for x in one if x.doc_id == i) for i in sorted(reps))
+            if same or similarity(first, second) >= 0.75:
+                want.add((a.doc_id, b.doc_id))
+    got = dedup.near_with_members(df, 0.75).collect()
+    classes = {}
+    for r in got:
+        if r.other_id is None:
+            classes.setdefault(r.representative, []).append(r.doc_id)
+    found = {p for c in classes.values() for p in itertools.combinations(sorted(c), 2)}
+    found |= {(min(x, y), max(x, y)) for r in got if r.other_id is not None for x in classes[r.doc_id] for y in classes[r.other_id]}
+    assert found == want and sorted(d for c in classes.values() for d in c) == sorted(r.doc_id for r in one)
+    assert any(len(c) > 1 for c in classes.values()) and any(r.other_id is not None for r in got)
