@@ -6,20 +6,23 @@ truncated to one byte. Sketches of parts of a text merge by taking the larger le
 levels show similar sets. Then
 
 1. texts with equal sets form classes, of which one text stands for all;
-2. ROWS registers side by side are a band; classes that agree in a band share a bucket. Two sets at the
-   threshold of 0.85 share none of the 50 buckets with a probability of about one in ten million;
+2. registers side by side are a band; classes that agree in a band share a bucket. A band has as many registers
+   as leave a pair at the threshold without a shared bucket with a probability of MISSED at most;
 3. candidate pairs are estimated: the likelihood of the registers' order relations gives how well the
    threshold can be true; pairs for which it is e**-SURE times less likely than the best value are dropped;
 4. the rest are verified on the full sets, rebuilt from whole texts; what passes is a link;
 5. links are joined to components by label propagation with pointer jumping.
 
-Steps 3 to 5 run in turns. First each bucket compares its members with one of them only (the same for all
-buckets where possible, then another for each band), which joins groups of many near copies without listing
-their pairs. What is left are members of buckets that hold several components by then. Pairs of these are found
-exactly, by prefix filtering: in any one order of shingles, two sets at the threshold share one of the first
-n - ceil(t * n) + 1 of each (fewer of the smaller set), and what follows the first one shared bounds how many
-they share. The order puts seldom shingles first (by counts in SLOTS slots of their hashes, a
-table of fixed size), so a passage that many documents share joins no pairs. No link between components is lost.
+Steps 3 to 5 run in turns. At first each class is compared with one other, the one that leads most of its
+buckets, and what leads a bucket is the member with most neighbours: the original of a group of near copies, say.
+Then, where buckets still hold several components, members of the smaller ones are compared with ASKED random
+members of the largest. Both turns list no pairs of a group, only a few for each class, and so do their links.
+
+Pairs of the components that then share a bucket are found exactly, by prefix filtering: in any one order of
+shingles, two sets at the threshold share one of the first n - ceil(t * n) + 1 of each (fewer of the smaller
+set), and what follows the first one shared bounds how many they share. The order puts first what joins no two
+components, then the shingles of fewest documents, by counts of all shingles of these texts; so a passage that
+many documents share joins no pairs, at any size of the table. No link between components is lost.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and kept; texts
 with fewer words than a shingle have one shingle, their whole sequence; rows with equal sets are linked;
@@ -34,17 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm.common import forget, mixed, small_batches, written
 from postlake.llm.shingles import parts, shingle_sql, shingles
 
-REGISTERS, ROWS, BASE, TOP = 400, 8, 1.1, 255
-BANDS = REGISTERS // ROWS
+REGISTERS, BASE, TOP = 400, 1.1, 255
+MISSED = 1e-6
 SURE = 14.0
-TURNS = 2
-SLOTS = 1 << 15
+ASKED = 4
+COPIES = 32
 MULTIPLY = (mixed(np.arange(20_000, 20_000 + REGISTERS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 ADD = mixed(np.arange(40_000, 40_000 + REGISTERS, dtype=np.uint64)).astype(np.uint32)
 
@@ -55,6 +58,17 @@ def level_bounds() -> np.ndarray:
     return np.floor(-np.expm1(-(float(BASE) ** -np.arange(TOP - 1.0, -1.0, -1.0))) * 2.0**32 - 0.5)
 
 
+@functools.cache
+def band_rows(least: tuple[int, int]) -> int:
+    """The most registers in a band with which a pair at the threshold shares no bucket with a probability of MISSED at most."""
+    most, t = 1, least[0] / least[1]
+    same = 1 + 2 * np.log1p(-(1 - t) / 2 * (BASE - 1) / BASE) / np.log(BASE)  # of two sets of one size, a register is equal with this probability
+    for rows in range(1, 17):
+        if (1 - same**rows) ** (REGISTERS // rows) <= MISSED:
+            most = rows
+    return most
+
+
 def levels(minima: np.ndarray) -> np.ndarray:
     return (TOP - np.searchsorted(level_bounds(), minima, "left")).astype(np.uint8)
 
@@ -130,7 +144,7 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, leas
 
 def estimated(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) that their registers leave possible."""
-    side = lambda x: classes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +152,14 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> D
             sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb")]
             yield batch.select(["a", "b"]).filter(pa.array(plausible(*regs, *sizes, least[0] / least[1]))) if batch.num_rows else batch.select(["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(kept, "a binary, b binary")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(kept, "a long, b long")
+
+
+def text_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text of a column."""
+    for start, stop in parts(column):
+        hashes, at = distinct(*shingles(column.slice(start, stop - start), n))
+        yield from (hashes[a:b] for a, b in zip(at, at[1:], strict=False))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, least: tuple[int, int]) -> DataFrame:
@@ -146,78 +167,74 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, least: tuple[int, int])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for c in ("ta", "tb"):
-                sides.append(list(text_sets(batch.column(c), n)))
             good = []
-            for x, y in zip(*sides, strict=True):
+            for x, y in zip(text_sets(batch.column(2), n), text_sets(batch.column(3), n), strict=True):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(least[1] * shared >= least[0] * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda x: texts.select(F.col("k").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(kept, "a binary, b binary")
+    side = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"t{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(kept, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(k, comp) of each end of the links (a, b): the smallest end that can be reached. Labels go to neighbours and then to the label's label until none changes; each turn is written."""
+    """(c, comp) of each end of the links (a, b): the smallest end that can be reached. Labels go to neighbours and then to the label's label until none changes; each turn is written. A label that many ends have is looked up in COPIES parts."""
     ends = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
-    labels = written(ends.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.col("k")).alias("comp")), "labels")
+    labels = written(ends.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.col("c")).alias("comp")), "labels")
     while True:
-        near = ends.join(labels.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        lower = labels.join(near.withColumnRenamed("a", "k"), "k").select("k", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        jump = lower.select(F.col("k").alias("comp"), F.col("comp").alias("next"))
-        turn = written(lower.join(jump, "comp", "left").select("k", F.least("comp", "next").alias("comp"), "old"), "labels")
+        near = ends.join(labels.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        lower = written(labels.join(near.withColumnRenamed("a", "c"), "c").select("c", F.least("comp", "near").alias("comp"), F.col("comp").alias("old")), "lower")
+        jump = lower.where("comp != c").select(F.col("c").alias("comp"), F.col("comp").alias("next")).join(lower.select("comp").distinct(), "comp")
+        jump = jump.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+        turn = written(lower.withColumn("part", F.pmod(F.xxhash64("c"), F.lit(COPIES)).cast("int")).join(jump, ["comp", "part"], "left").select("c", F.coalesce("next", "comp").alias("comp"), "old"), "labels")
         changed = turn.where("comp != old").limit(1).count()
-        forget(labels)
-        labels = turn.select("k", "comp")
+        forget(labels, lower)
+        labels = turn.select("c", "comp")
         if not changed:
             forget(ends)
             return labels
 
 
-def text_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The distinct shingles of each text of a column."""
-    for start, stop in parts(column):
-        hashes, at = distinct(*shingles(column.slice(start, stop - start), n))
-        yield from (hashes[a:b] for a, b in zip(at, at[1:], strict=False))
-
-
-def slot_counts(rest: DataFrame, n: int) -> np.ndarray:
-    """How many shingles of the texts of rest fall into each slot: each task sends SLOTS numbers at most."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for own in text_sets(batch.column(0), n):
-                total += np.bincount((own % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full])], ["slot", "c"])
-
-    out = np.zeros(SLOTS, np.int64)
-    for row in rest.select("text").mapInArrow(counted, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).collect():
-        out[row.slot] = row.c
-    return out
+def led(members: DataFrame, order: Column, fits: Column, most: int) -> DataFrame:
+    """Pairs (a, b) of members (c, n, comp, bv) with leaders of their buckets, the members that come last in an order: for each up to ``most`` leaders of another component, those of most of its buckets first."""
+    heads = members.groupBy("bv").agg(F.max_by("c", order).alias("b"), F.max_by("comp", order).alias("compb"), F.max_by("n", order).alias("nb"))
+    met = members.join(heads, "bv").where((F.col("comp") != F.col("compb")) & fits).groupBy("c", "b").agg(F.count("*").alias("k"))
+    best = met.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "b")), asc=False), 1, most).alias("best"))
+    return best.select("c", F.explode("best.b").alias("b")).select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
 
 
 def prefixes(rest: DataFrame, n: int, least: tuple[int, int]) -> DataFrame:
-    """(s, place, k, n, comp): for each text the hashes of its first shingles, seldom slots first, and their places from 1."""
-    counts = rest.sparkSession.sparkContext.broadcast(slot_counts(rest, n))
+    """(s, place, c, n, comp) of rest (c, n, comp, text): the hashes of each text's first shingles and their places from 1. Shingles that join no two components come first, and aren't listed; then those of fewest texts."""
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, found, places = [], [], []
-            for i, own in enumerate(text_sets(batch.column(3), n)):
-                size = len(own) - -(-least[0] * len(own) // least[1]) + 1
-                order = np.lexsort((own, counts.value[(own % np.uint64(SLOTS)).astype(np.int64)]))[:size]
-                take.append(np.full(len(order), i))
-                found.append(own[order].view(np.int64))
-                places.append(np.arange(1, len(order) + 1))
-            if found:
-                rows = batch.select([0, 1, 2]).take(pa.array(np.concatenate(take)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(places)), *rows.columns], ["s", "place", "k", "n", "comp"])
-
-    return rest.select("k", "n", "comp", "text").mapInArrow(first, "s long, place long, k binary, n long, comp binary")
+            at = 0
+            for start, stop in parts(batch.column(2)):
+                hashes, begins = distinct(*shingles(batch.column(2).slice(start, stop - start), n))
+                rows = batch.select([0, 1]).take(pa.array(np.repeat(np.arange(start, stop), np.diff(begins))))
+                for at in range(0, len(hashes), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at : at + (1 << 17)].view(np.int64)), *(x.slice(at, 1 << 17) for x in rows.columns)], ["s", "c", "comp"])
+
+    each = rest.select("c", "comp", "text").mapInArrow(items, "s long, c long, comp long")
+    several = each.groupBy("s").agg(F.count("*").alias("texts"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("s", "texts")
+    lists = each.select("s", "c").join(several, "s").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("texts", "s"))).alias("list"))
+    size = F.col("n") - F.ceil(F.col("n") * least[0] / least[1]) + 1
+    first = F.col("n") - F.size("list")
+    cut = lists.join(rest.select("c", "n", "comp"), "c").where(size > first).select("c", "n", "comp", first.alias("first"), F.posexplode(F.slice("list", F.lit(1), (size - first).cast("int"))).alias("i", "x"))
+    return cut.select("x.s", (F.col("first") + F.col("i") + 1).alias("place"), "c", "n", "comp")
+
+
+def sharing(lists: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components that share one of their first shingles and can be similar enough."""
+    other = lists.select("s", F.col("place").alias("placeb"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("compb"))
+    # no more is shared than the first shared shingle and what follows it on either side; the smaller set's own size bounds that already
+    enough = lambda follow, both: (1 + follow) * sum(least) >= least[0] * both
+    smaller = lists.where(enough(F.col("n") - F.col("place"), 2 * F.col("n")))
+    ordered = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("c") < F.col("b")))
+    bounded = enough(F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("placeb")), F.col("n") + F.col("nb"))
+    near = F.col("n") * least[1] >= F.col("nb") * least[0]
+    pairs = smaller.join(other, "s").where(bounded & ordered & near & (F.col("comp") != F.col("compb")))
+    return pairs.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
 
 
 def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -226,84 +243,61 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     rows = written(sketch(docs, key, text, n), "sketches")
     # of each class one text to read again, by id and hash, and the smallest id
     pick = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("h").alias("h"))).alias("pick")
-    classes = written(rows.where("n > 0").groupBy("k").agg(pick, F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
-
-    bands = classes.select("k", "n", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "regs").select("k", "n", "band", F.expr(f"substring(regs, band * {ROWS} + 1, {ROWS})").alias("value"))
-    shared = bands.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = written(bands.join(shared.select("band", "value"), ["band", "value"]), "buckets")
-    tables = [rows, classes, buckets]
-    comps, links, tried, texts = None, None, None, None
-
-    def placed() -> DataFrame:
-        """Members of buckets with their components so far."""
-        if comps is None:
-            return buckets.withColumn("comp", F.col("k"))
-        out = written(buckets.join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k")), "members")
-        tables.append(out)
-        return out
-
-    def read_texts(needed: DataFrame) -> DataFrame:
-        """(k, text) of the needed classes, from the documents; what was read before stays."""
-        if texts is not None:
-            needed = needed.join(texts, "k", "left_anti")
-        where = classes.join(needed, "k").select("k", F.col("pick.key").alias("key"), F.col("pick.h").alias("h"))
-        found = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).alias("d").join(where.alias("w"), F.expr("d.h = w.h AND d.key <=> w.key")).select("k", "text").dropDuplicates(["k"])
-        tables.append(written(found, "texts"))
-        return tables[-1] if texts is None else texts.unionByName(tables[-1])
-
-    fits = lambda x, y: (F.least(x, y) * least[1] >= F.greatest(x, y) * least[0])
-    apart = (F.col("comp") != F.col("compb")) & fits(F.col("n"), F.col("nb"))
-    for turn in range(TURNS + 1):
-        members = placed()
-        if turn < TURNS:
-            order = F.col("k") if not turn else F.xxhash64("k", "band")
-            chosen = members.groupBy("band", "value").agg(F.min(F.struct(order.alias("order"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("compb"))).alias("one"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            chosen = chosen.where("lo != hi").select("band", "value", "one.b", "one.nb", "one.compb")
-            pairs = members.join(chosen, ["band", "value"]).where(apart).select(F.col("k").alias("a"), "b")
+    classes = written(rows.where("n > 0").groupBy("k").agg(pick, F.first("n").alias("n"), F.first("regs").alias("regs")).withColumn("c", F.monotonically_increasing_id()), "classes")
+
+    size = band_rows(least)
+    bands = classes.select("c", F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("regs", i * size + 1, size)) for i in range(REGISTERS // size)))).alias("bv"))
+    shared = bands.groupBy("bv").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = written(bands.join(shared, "bv"), "buckets")
+    weights = buckets.groupBy("c").agg(F.sum("members").alias("weight"))
+    about = written(classes.select("c", "n", F.col("pick.key").alias("key"), F.col("pick.h").alias("h")).join(weights, "c"), "about")
+    # the texts of all classes that share a bucket, read once
+    found = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).alias("d").join(about.select("c", "key", "h").alias("w"), F.expr("d.h = w.h AND d.key <=> w.key"))
+    texts = written(found.select("c", "text").dropDuplicates(["c"]), "texts")
+    tables = [rows, classes, buckets, about, texts]
+
+    fits = F.least("n", "nb") * least[1] >= F.greatest("n", "nb") * least[0]
+    members = buckets.select("c", "bv").join(about.select("c", "n", "weight"), "c").withColumn("comp", F.col("c"))
+    links = None
+    for turn in range(3):
+        if turn:
+            own = comps.join(comps.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+            members = buckets.select("c", "bv").join(about.select("c", "n"), "c").join(own, "c", "left").select("c", "bv", "n", F.coalesce("comp", "c").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+            several = members.groupBy("bv").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bv")
+            members = members.join(several, "bv")
+        if turn < 2:
+            order = F.col("size") * (1 << 20) + F.pmod(F.xxhash64("c", "bv"), F.lit(1 << 20)) if turn else F.col("weight")
+            pairs = led(members, order, fits, ASKED if turn else 1)
         else:
-            several = members.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band", "value")
-            left = members.join(several, ["band", "value"]).select("k", "n", "comp").distinct()
-            texts = read_texts(left.select("k"))
-            rest = written(left.join(texts, "k"), "rest")
+            rest = written(members.select("c", "n", "comp").distinct().join(texts, "c"), "rest")
             lists = written(prefixes(rest, n, least), "prefixes")
+            pairs = sharing(lists, least)
             tables += [rest, lists]
-            again = lists.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("s")
-            own = lists.join(again, "s")
-            other = own.select("s", F.col("place").alias("placeb"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("compb"))
-            # no more is shared than the first shared shingle and what follows it on either side; the smaller set's own size bounds that already
-            enough = lambda follow, both: (1 + follow) * sum(least) >= least[0] * both
-            smaller = own.where(enough(F.col("n") - F.col("place"), 2 * F.col("n")))
-            ordered = F.struct("n", "k") < F.struct("nb", "b")
-            bounded = enough(F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("placeb")), F.col("n") + F.col("nb"))
-            pairs = smaller.join(other, "s").where(apart & ordered & bounded).select(F.col("k").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        pairs = written(pairs, "pairs")
         likely = written(estimated(pairs, classes, least), "likely")
-        texts = read_texts(likely.select(F.col("a").alias("k")).unionByName(likely.select(F.col("b").alias("k"))).distinct())
         new = written(verified(likely, texts, n, least), "links")
         tables += [pairs, likely, new]
         links = new if links is None else links.unionByName(new)
         comps = components(links)
         tables.append(comps)
 
-    low = comps.join(classes.select("k", "pick.key"), "k").groupBy("comp").agg(F.min("key").alias("low"))
-    ids = written(classes.select("k", "pick.key").join(comps.join(low, "comp").select("k", "low"), "k", "left").select("k", F.coalesce("low", "key").alias("component_id")), "components")
+    low = comps.join(classes.select("c", "pick.key"), "c").groupBy("comp").agg(F.min("key").alias("low"))
+    ids = written(classes.select("c", "k", "pick.key").join(comps.join(low, "comp").select("c", "low"), "c", "left").select("k", F.coalesce("low", "key").alias("component_id")), "components")
     out = written(rows.select("key", "h", "n", "k").join(ids, "k", "left").select(F.col("key").alias(key), "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")), "rows")
     forget(*tables, ids)
     return out
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The rows of docs of which one stays for each component: that with the smallest id (of repeats, one). Rows without words all stay."""
+    """The rows of docs of which one stays for each component: that with the smallest id (of repeats, one). All rows without an id or without words stay."""
     ids = component_ids(docs, key, text, n, least)
-    keep = ids.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("k"), "h", "n_shingles", "component_id")
-    named = (F.col("n_shingles") > 0) & F.col("k").isNotNull()
-    once = keep.where(named).groupBy("component_id").agg(F.min(F.struct("k", "h")).alias("one")).select("one.k", "one.h").unionByName(keep.where(~named).select("k", "h"))
-    # one number for a row's id and text, so that joining and dropping repeats share one shuffle of the texts
-    row = "row_" + "_".join(docs.columns)[:40]
-    marked = docs.withColumn(row, F.xxhash64(key, F.xxhash64(text)))
-    return marked.join(once.select(F.xxhash64("k", "h").alias(row)).distinct(), row).dropDuplicates([row]).drop(row)
+    first = ids.where((F.col("n_shingles") > 0) & (F.col(key) == F.col("component_id"))).groupBy(F.col(key).alias("kept_key")).agg(F.min("h").alias("kept_hash"))
+    # names that no column of docs has
+    a, b = (f"{x}_{len(''.join(docs.columns))}" for x in ("kept_key", "kept_hash"))
+    first = first.select(F.col("kept_key").alias(a), F.col("kept_hash").alias(b))
+    named = F.col(key).isNotNull() & F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.where(named).withColumns({a: F.col(key), b: F.xxhash64(text)})
+    return marked.join(first, [a, b]).dropDuplicates([a, b]).select(docs.columns).unionByName(docs.where(~named))
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -53,14 +53,33 @@ def test_components_are_those_of_brute_force(spark, n, least):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, n, least)
 
 
-def test_one_of_each_component_stays(spark):
-    rows = corpus(8, 60)
-    kept = d.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()
-    want = [w for w in brute(rows, 5, (4, 5)) if w[0] == w[2]]
-    assert {str(r.doc_id) for r in kept} == {w[0] for w in want}
-    ids = [r.doc_id for r in kept if r.doc_id is not None and shingle_set(r.text, 5)]
-    assert len(ids) == len(set(ids))
-    assert kept[0].asDict().keys() == {"doc_id", "text", "k", "n"}
+@pytest.mark.parametrize("extra", ["k", "kept_key", "h"])
+def test_one_of_each_component_stays(spark, extra):
+    rows = corpus(8, 60) + [(None, None, "x", 1), (None, "", "y", 2), (901, "", "z", 3), (5, "5 differs", "", 0), (5, "", "", 0)]
+    kept = d.deduplicated(spark.createDataFrame(rows, SCHEMA.replace(" k ", f" {extra} "))).collect()
+    free = lambda r: r[0] is None or not shingle_set(r[1], 5)
+    named = [r.doc_id for r in kept if not free(r)]
+    assert sorted(map(tuple, filter(free, kept)), key=repr) == sorted(filter(free, rows), key=repr)
+    assert len(named) == len(set(named)) and set(map(str, named)) == {w[0] for w in brute(rows, 5, (4, 5)) if w[0] == w[2] and w[1] > 0 and w[0] != "None"}
+    assert kept[0].asDict().keys() == {"doc_id", "text", extra, "n"}
+
+
+def test_band_sizes_leave_few_pairs_at_the_threshold_apart():
+    for least in ((85, 100), (4, 5), (1, 2), (99, 100)):
+        rng, rows = np.random.default_rng(5), d.band_rows(least)
+        size = 4000
+        shared = round(2 * size * least[0] / (sum(least)))
+        apart = 0
+        for _ in range(40):
+            x = rng.integers(0, 2**63, 2 * size - shared, dtype=np.uint64)
+            a, b = (d.sketches(s, np.array([0]))[0] for s in (x[:size], x[size - shared :]))
+            same = (a == b)[: used(rows)].reshape(-1, rows).all(axis=1)
+            apart += not same.any()
+        assert apart == 0
+
+
+def used(rows):
+    return d.REGISTERS // rows * rows
 
 
 def test_empty(spark):
