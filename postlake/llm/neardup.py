@@ -144,7 +144,7 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, leas
 
 def estimated(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) that their registers leave possible."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")).join(pairs, x)  # noqa: E731  of the registers only those of pairs move
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +152,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> D
             sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb")]
             yield batch.select(["a", "b"]).filter(pa.array(plausible(*regs, *sizes, least[0] / least[1]))) if batch.num_rows else batch.select(["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(kept, "a long, b long")
+    return side("a").join(side("b"), ["a", "b"]).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(kept, "a long, b long")
 
 
 def text_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -173,8 +173,8 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, least: tuple[int, int])
                 good.append(least[1] * shared >= least[0] * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(kept, "a long, b long")
+    side = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"t{x}")).join(pairs, x)
+    return side("a").join(side("b"), ["a", "b"]).select("a", "b", "ta", "tb").mapInArrow(kept, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,9 +277,10 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
         likely = written(estimated(pairs, classes, least), "likely")
         new = written(verified(likely, texts, n, least), "links")
         tables += [pairs, likely, new]
-        links = new if links is None else links.unionByName(new)
-        comps = components(links)
-        tables.append(comps)
+        if links is None or new.head(1):
+            links = new if links is None else links.unionByName(new)
+            comps = components(links)
+            tables.append(comps)
 
     low = comps.join(classes.select("c", "pick.key"), "c").groupBy("comp").agg(F.min("key").alias("low"))
     ids = written(classes.select("c", "k", "pick.key").join(comps.join(low, "comp").select("c", "low"), "c", "left").select("k", F.coalesce("low", "key").alias("component_id")), "components")
