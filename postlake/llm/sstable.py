@@ -45,8 +45,8 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<6QI8s")
 MAGIC = b"PLSST001"
 INDEX = struct.Struct("<9s4Q")
-#: The pre-tokeniser drops white space and lets no token cross it, nor the place between a letter or digit and such a mark, so parts between these are encoded once and kept.
-PART = re.compile(r"[^\W_]++(?=[,.;:!?])|[^ \t\n\r]+")
+#: The pre-tokeniser drops white space and lets no token cross it, nor the place between a letter or digit and such a mark, so parts between these are encoded once and kept. Only ASCII letters and digits count here: composing and lowering leave them what they are, while other letters may end in a combining mark, which joins the marks that follow.
+PART = re.compile(r"[A-Za-z0-9]++(?=[,.;:!?])|[^ \t\n\r]+")
 KEPT = 600_000
 
 
@@ -215,7 +215,11 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         if not writer.docs:
             files.delete_file(partial)
             return
-        files.move(partial, f"{into}/{final}")
+        try:
+            files.move(partial, f"{into}/{final}")
+        except OSError:  # a store that doesn't replace files, and an attempt before this one that got so far
+            files.delete_file(f"{into}/{final}")
+            files.move(partial, f"{into}/{final}")
         yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": f"{folder}/{final}", "first": writer.range[0], "last": writer.range[1], "docs": writer.docs, "ids": writer.ids}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("first", pa.binary()), ("last", pa.binary()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     dealt = rows.repartitionByRange(*([shards] if shards else []), "key", "h", "n").sortWithinPartitions("key", "h", "n").select("key", "text")

@@ -21,6 +21,16 @@ def test_parts_give_the_ids_of_the_whole_text():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [direct(t) for t in TEXTS]
 
 
+def test_all_code_points_beside_marks():
+    """Every code point of the first two planes, and some of the others, before and after a mark gives the ids of the library over the whole text."""
+    every = [chr(c) for c in [*range(0x20000), *range(0x20000, 0x110000, 64)] if not 0xD800 <= c < 0xE000]
+    for mark in ",.;:!?":
+        step = every if mark == "," else every[:0x3000]
+        for first in range(0, len(step), 256):
+            text = " ".join(f"a{c}{mark}b x{mark}{c}" for c in step[first : first + 256])
+            assert np.frombuffer(sstable.encode_texts([text], PATH)[0], "<u4").tolist() == direct(text)
+
+
 def test_files_hold_all_and_are_searched(spark):
     rows = [(i * 7 - 300, TEXTS[i % len(TEXTS)], "x", 1) for i in range(300)] + [(None, "null key", None, None), (7, None, "", 0)] + [(14, "hot", "", 0)] * 200 + [(15, "one two " * 9000, "", 0)] * 4
     manifest = sstable.write(spark.createDataFrame(rows, SCHEMA).repartition(3), fresh_path(spark, "sst-test"), shards=4)
