@@ -10,8 +10,9 @@ as places in them. Blocks send their distinct words and pairs with counts, sorte
 hash range; a bucket adds up what all blocks sent and stores the counts and weights as a row of the model's
 tables. Blocks then read, in the order in which they sent, the values of their own words and pairs, and evaluate
 each token from them, the pair first, then backoff and word. No pair or word has a row of its own in a shuffle,
-a frequent word or pair weighs as much as any other, and the number of buckets follows the session's shuffle
-partitions. A text that is longer than a block goes on in the next one.
+a frequent word or pair weighs as much as any other. There are BUCKETS buckets for each of the session's shuffle
+partitions, and more where a bucket would have more than BUCKET_TOKENS tokens' share of the corpus, so that its
+memory doesn't follow the corpus. A text that is longer than a block goes on in the next one.
 
 Defined results: a null or empty text is its end token alone; repeated rows are counted and scored each; null
 keys are in the fold of empty text; without training rows all tokens are unknown with probability 1; only key
@@ -21,35 +22,37 @@ and text are read; an empty table gives an empty table.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import fresh_path, mixed, remainder, small_batches, written
+from postlake.llm.common import forget, fresh_path, mixed, remainder, small_batches, written
 from postlake.llm.shingles import parts, words
 
-BLOCK = 1 << 20
+BLOCK, BUCKETS, BUCKET_TOKENS = 1 << 20, 4, 1 << 22
 START, END = np.uint64(1), np.uint64(2)
-DISCOUNTED, LEAST_PAIR = 5, 1
+DISCOUNTED = 5
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
-# ---- packing: sorted keys as differences, all numbers by byte planes, which compress well
+# ---- packing: sorted keys as differences, all numbers by byte planes, entropy-coded
 
 
 def pack(x: np.ndarray, kind: str) -> bytes:
     x = np.ascontiguousarray(x, kind)
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
 def unpack(raw: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def pack_keys(x: np.ndarray) -> bytes:
@@ -158,7 +161,7 @@ SENT = "bucket int, block long, keys binary, counts binary"
 
 
 def added(rows: pd.DataFrame, pairs: bool) -> pd.DataFrame:
-    """A bucket's counts over all blocks, for each block in the order of what it sent, and (block -1) the bucket's table and how many keys have each small count. The first block that has a pair owns it."""
+    """A bucket's counts over all blocks, for each block in the order of what it sent, with the places of its words in the bucket's table, and (block -1) that table and how many keys have each small count. The first block that has a pair owns it."""
     rows = rows.sort_values("block")
     keys = [unpack_keys(k) for k in rows["keys"]]
     flat, counts = np.concatenate(keys), np.concatenate([unpack(c, "<u4") for c in rows["counts"]]).astype(np.int64)
@@ -171,7 +174,8 @@ def added(rows: pd.DataFrame, pairs: bool) -> pd.DataFrame:
     ends = np.cumsum([len(k) for k in keys])[:-1]
     words_only = total if pairs else total[own != START]
     stats = np.concatenate([np.bincount(np.minimum(words_only, DISCOUNTED + 2), minlength=DISCOUNTED + 3), [words_only.sum()]]).astype(np.int64)
-    out = pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "keys": None if pairs else rows["keys"], "values": [pack(v, "<u8") for v in np.split(value, ends)], "stats": None})
+    places = None if pairs else [pack_keys(p.astype(np.uint64)) for p in np.split(inverse, ends)]
+    out = pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "keys": places, "values": [pack(v, "<u8") for v in np.split(value, ends)], "stats": None})
     return pd.concat([out, pd.DataFrame([{"bucket": rows["bucket"].iloc[0], "block": -1, "keys": pack_keys(own), "values": pack(total, "<u8"), "stats": stats.tolist()}])], ignore_index=True)
 
 
@@ -227,7 +231,7 @@ class Model:
 
     def pair(self, counts: np.ndarray) -> np.ndarray:
         """What is kept of pair counts; 0 for unseen ones."""
-        return np.where(counts >= LEAST_PAIR, self.kept(counts, self.pair_discounts), 0.0)
+        return np.where(counts > 0, self.kept(counts, self.pair_discounts), 0.0)
 
 
 def answers(rows: pd.DataFrame, kind: str) -> pd.DataFrame:
@@ -247,7 +251,7 @@ def restored(block: pd.DataFrame, replies: pd.DataFrame, bits: int) -> tuple[Blo
 def shares(block: pd.DataFrame, replies: pd.DataFrame, model: Model, buckets: int, bits: int) -> pd.DataFrame:
     """For each history of the pairs that a block owns: what is kept of the pairs' counts, and the sum of P(w)."""
     b, counts, pairs, owned = restored(block, replies, bits)
-    use = owned & (pairs >= LEAST_PAIR)
+    use = owned & (pairs > 0)
     kept = np.bincount(b.pair_h[use], model.pair(pairs[use]), len(b.words))
     lower = np.bincount(b.pair_h[use], model.word(counts[b.pair_w[use]]), len(b.words))
     cut = slices(b.words, buckets)
@@ -272,7 +276,7 @@ def weighted(counts: pd.DataFrame, parts_of: pd.DataFrame, model: Model) -> pd.D
     backoff = np.where(total > 0, (1 - kept / below) / np.maximum(1 - lower, 1e-300), 1.0)
     out = [(table["bucket"], -1, pack(backoff, "<f8"), pack(below, "<u8"))]
     for row in counts[counts["block"] >= 0].itertuples():
-        at = np.searchsorted(keys, unpack_keys(row.keys))
+        at = unpack_keys(row.keys).astype(np.int64)
         out.append((row.bucket, row.block, pack(backoff[at], "<f8"), pack(below[at], "<u8")))
     return pd.DataFrame(out, columns=["bucket", "block", "values", "below"])
 
@@ -298,30 +302,36 @@ def stats_of(table: DataFrame) -> np.ndarray:
     return np.array([x or 0 for x in row], np.int64)
 
 
-def corpus(docs: DataFrame, held: Column, key: str, text: str, size: int) -> DataFrame:
+def corpus(docs: DataFrame, held: Column, key: str, text: str, size: int) -> tuple[DataFrame, Callable[[], None]]:
     rows = docs.select(F.col(key).alias("key"), held.alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
     return bucketed(rows.mapInArrow(lambda b: blocked(b, size), BLOCKS.format(kind=kind)), "block", "blocks")
 
 
-def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df as a table in the shared folder, bucketed by a column, so that grouping by it moves no row of it again."""
+def bucketed(df: DataFrame, column: str, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a table in the shared folder, bucketed by a column, so that grouping by it moves no row of it again; and what drops the table."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+
+    def drop() -> None:
+        forget(out)
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    return out, drop
 
 
 def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; the model learns from rows for which ``held`` (a column of docs) is false."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = corpus(docs, held, key, text, block)
+    blocks, drop = corpus(docs, held, key, text, block)
     kind = docs.schema[key].dataType.simpleString()
     # pairs are hashed to so many bits that few of them, if any, can share a key: their number squared is below 2 ** (bits + 2)
     tokens = blocks.agg(F.sum(F.element_at("at", -1))).first()[0] or 1
+    buckets = max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET_TOKENS)
     bits = min(64, max(40, 2 * int(tokens).bit_length() - 2))
 
     def counts_of(pairs: bool, name: str) -> DataFrame:
@@ -338,6 +348,9 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     replies.append(weights.where("block >= 0").select("block", F.lit("weights").alias("kind"), "bucket", "values", "below"))
     pieces = by_block(blocks).cogroup(by_block(replies[0].unionByName(replies[1]).unionByName(replies[2]))).applyInPandas(lambda b, r: scored(b, r, model, bits), f"uid long, key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     whole = pieces.groupBy("uid", "key", "held_out").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    whole = written(whole.drop("uid"), "scores")
+    drop()
+    forget(*counted, weights)
     return whole.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

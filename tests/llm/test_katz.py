@@ -31,7 +31,7 @@ def brute(rows):
     left = total - sum(kept1.values())
     below1, unknown = (total, left / total) if left >= 0.5 else (total + 1, (left + 1) / (total + 1))
     p1 = lambda w: kept1[w] / below1 if w in kept1 else unknown
-    kept2 = {p: c * (d2[c] if c <= k else 1) for p, c in c2.items() if c >= katz.LEAST_PAIR}
+    kept2 = {p: c * (d2[c] if c <= k else 1) for p, c in c2.items()}
     sums, lower, below, back = Counter(), Counter(), {}, {}
     for (h, w), c in kept2.items():
         sums[h] += c
@@ -96,7 +96,6 @@ def test_query_beats_the_base(spark):
 def test_pairs_seen_once_count(spark, monkeypatch):
     rows = corpus(120, seed=9)
     got = katz.score(spark.createDataFrame(rows, SCHEMA).repartition(3), remainder(katz.F.col("doc_id"), 7) == 2, block=64).collect()
-    monkeypatch.setattr(katz, "LEAST_PAIR", 1)  # for brute(): no cut-off, whatever the module has
     want = brute(rows)[0]
     for g, w in zip(sorted((str(g[0]), *g[1:]) for g in got), want, strict=True):
         assert g[:5] == w[:5] and g[6] == pytest.approx(w[6], rel=1e-9)
