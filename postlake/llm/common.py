@@ -18,9 +18,11 @@ WORD_BREAKS = str.maketrans(SPACE, " " * len(SPACE))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where that is unset (tests on one machine) a temporary folder is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where that is unset, a temporary folder is made and set if all runs in one process on one machine; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         base = "file://" + tempfile.mkdtemp(prefix="postlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     where = spark._jvm.org.apache.hadoop.fs.Path(base)

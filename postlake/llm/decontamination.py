@@ -9,8 +9,9 @@ window are candidates if any of ``HASHES`` minima are equal: an item of which 0.
 with a probability under 0.81 ** 64, about one in a million. A candidate is verified on the words themselves:
 it is a hit if at least ``least`` of the item's shingles are among those of the whole document.
 
-Items are broadcast in blocks whose size is checked: at most BLOCK bytes of text at a time, and as many passes
-over the documents as there are blocks.
+Items are broadcast in blocks whose size is checked, about BLOCK bytes of text at a time, and as many passes over
+the documents are made as there are blocks. The driver holds one block at a time: of several, each pass is written
+before the next block is read.
 
 Defined results: items and documents with null or empty texts have no shingles and are in no pair; with fewer
 words than a shingle has, the whole sequence is one shingle; repeated rows are reported each; null ids stay
@@ -19,18 +20,17 @@ null; only ids and texts are read; empty tables give an empty table.
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import mixed, small_batches
+from postlake.llm.common import forget, mixed, small_batches, written
 from postlake.llm.shingles import parts, shingle_set, shingle_sql, shingles
 
 WORDS, LEAST = 5, (4, 5)
@@ -103,16 +103,16 @@ def hits(column: pa.Array, items: Items, n: int, least: tuple[int, int]) -> list
     return out
 
 
-def item_blocks(items: DataFrame, key: str, text: str, block: int = BLOCK) -> Iterator[list]:
-    """Rows of items, at most about ``block`` bytes of text at a time."""
+def item_blocks(items: DataFrame, key: str, text: str, block: int = BLOCK) -> tuple[bool, Iterator[list]]:
+    """Whether there are several blocks, and the rows of each: items of about ``block`` bytes of text, dealt out by hash."""
     rows = items.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block)
-    for b in range(blocks):
-        yield (rows.where(F.pmod(F.xxhash64("text", "key"), F.lit(blocks)) == b) if blocks > 1 else rows).collect()
+    return blocks > 1, ((rows.where(F.pmod(F.xxhash64("text", "key"), F.lit(blocks)) == b) if blocks > 1 else rows).collect() for b in range(blocks))
 
 
-def hit_column(spark, texts: list[str], text: Column, n: int, least: tuple[int, int]) -> Column:
+def hit_column(spark, texts: list[str], text: Column, n: int, least: tuple[int, int]) -> tuple[Column, Broadcast]:
+    """The hits of each text, and the broadcast that finding them needs."""
     small_batches(spark)
     index = spark.sparkContext.broadcast(Items(texts, n))
 
@@ -120,29 +120,44 @@ def hit_column(spark, texts: list[str], text: Column, n: int, least: tuple[int,
     def search(series: pd.Series) -> pd.Series:
         return pd.Series(hits(pa.array(series, pa.string()), index.value, n, least), dtype=object)
 
-    return search(text)
+    return search(text), index
 
 
-def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = WORDS, least: tuple[int, int] = LEAST, block: int = BLOCK) -> DataFrame:
     """key, item_key, n_item (shingles of the item), n_shared: a row for each document and item of which enough is in it."""
-    spark, found = docs.sparkSession, []
+    spark, found = docs.sparkSession, None
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = items.schema[item_key].dataType.simpleString()
-    for block in item_blocks(items, item_key, item_text):
-        sizes = [len(shingle_set(r.text, n)) for r in block]
-        names = spark.createDataFrame([(i, r.key, s) for i, (r, s) in enumerate(zip(block, sizes, strict=True))], f"item int, item_key {kind}, n_item int")
-        hit = rows.select("key", F.explode(hit_column(spark, [r.text for r in block], F.col("text"), n, least)).alias("hit"))
-        found.append(hit.select("key", "hit.item", "hit.shared").join(F.broadcast(names), "item").select(F.col("key").alias(key), F.col("item_key").alias(item_key), "n_item", F.col("shared").alias("n_shared")))
-    if not found:
+    several, blocks = item_blocks(items, item_key, item_text, block)
+    for some in blocks:
+        sizes = [len(shingle_set(r.text, n)) for r in some]
+        names = spark.createDataFrame([(i, r.key, s) for i, (r, s) in enumerate(zip(some, sizes, strict=True))], f"item int, item_key {kind}, n_item int")
+        column, index = hit_column(spark, [r.text for r in some], F.col("text"), n, least)
+        hit = rows.select("key", F.explode(column).alias("hit"))
+        hit = hit.select("key", "hit.item", "hit.shared").join(F.broadcast(names), "item").select(F.col("key").alias(key), F.col("item_key").alias(item_key), "n_item", F.col("shared").alias("n_shared"))
+        if several:
+            hit = written(hit, "hits")
+            index.destroy()
+        found = hit if found is None else found.unionByName(hit)
+    if found is None:
         return spark.createDataFrame([], f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {kind}, n_item int, n_shared int")
-    return functools.reduce(DataFrame.unionByName, found)
+    return found
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = WORDS, least: tuple[int, int] = LEAST, block: int = BLOCK) -> DataFrame:
     """The rows of docs that hold no item."""
-    blocks = [[r.text for r in b] for b in item_blocks(items, item_key, item_text)]
-    free = [F.size(hit_column(docs.sparkSession, b, F.col(text), n, least)) == 0 for b in blocks]
-    return docs.where(functools.reduce(operator.and_, free)) if free else docs
+    several, blocks = item_blocks(items, item_key, item_text, block)
+    left = docs
+    for some in blocks:
+        column, index = hit_column(docs.sparkSession, [r.text for r in some], F.col(text), n, least)
+        rest = left.where(F.size(column) == 0)
+        if several:
+            rest = written(rest, "clean")
+            index.destroy()
+            if left is not docs:
+                forget(left)
+        left = rest
+    return left
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -50,14 +50,12 @@ def test_pairs_are_those_of_brute_force(spark):
     assert sorted(str(r.doc_id) for r in d.clean(*frames).collect()) == sorted(str(x[0]) for x in docs if str(x[0]) not in {w[0] for w in want})
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_blocks_of_items_give_the_same(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h", "", 0), (2, "q r s t u v", "", 0), (3, "z", "", 0)], SCHEMA)
     items = spark.createDataFrame([(1, "a b c d e f", 0), (2, "q r s t u v", 0), (3, "b c d e f g", 0)], ITEMS)
     want = sorted(d.contained(docs, items).collect())
-    blocks = d.item_blocks
-    monkeypatch.setattr(d, "item_blocks", lambda *a: blocks(*a, block=12))
-    assert sorted(d.contained(docs, items).collect()) == want and len(want) == 3
-    assert [r.doc_id for r in d.clean(docs, items).collect()] == [3]
+    assert sorted(d.contained(docs, items, block=12).collect()) == want and len(want) == 3
+    assert [r.doc_id for r in d.clean(docs, items, block=12).collect()] == [3]
 
 
 def test_empty(spark):
