@@ -8,9 +8,10 @@ takes every text's highest window and follows the gradient of the log loss there
 the n-grams' smoothed log odds of occurring in toxic texts. A misspelling that training has not seen shares
 most of its n-grams with the word it stands for.
 
-Training is on a bounded sample: SAMPLE labelled rows at most (those whose hashed ids come first), texts of at
-most LONGEST characters. Scoring covers every text whole; what goes to the tasks is the model, whose size is
-fixed (one number for each hashed n-gram: the linear softmax of an embedding).
+Training is on a bounded sample of labelled rows with whole texts: in the order of hashed ids, SAMPLE rows at most,
+of which those are taken that keep the sample within CHARACTERS characters. Scoring covers every text whole; what
+goes to the tasks is the model, whose size is fixed (one number for each hashed n-gram: the linear softmax of an
+embedding).
 
 Defined results: null and empty texts, and texts without words, get the score of the softmax for an empty
 window; repeated rows are scored each; rows with null ids are scored; of several labels of an id the highest
@@ -28,9 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm.common import mixed, remainder, small_batches
+from postlake.llm.common import forget, mixed, remainder, small_batches, written
 
-SAMPLE, LONGEST = 4000, 50_000
+SAMPLE, CHARACTERS = 4000, 32_000_000
 BUCKETS, DIMENSIONS, GRAMS, WIDTH = 1 << 18, 8, (3, 4, 5, 6), 3
 ROUNDS, RATE, SMOOTH, DECAY = 60, 0.3, 3.0, 1e-4
 FOLDS = 5
@@ -176,12 +177,19 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(line[:, 1] - line[:, 0], bias[1] - bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = FOLDS, sample: int = SAMPLE) -> Model:
-    """A model of the labels whose key's crc32 modulo folds isn't 0, from ``sample`` of them at most."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = FOLDS, sample: int = SAMPLE, characters: int = CHARACTERS) -> Model:
+    """A model of the labels whose key's crc32 modulo folds isn't 0, from ``sample`` of them and texts of ``characters`` in all at most."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.max("label").alias("label"))
     chosen = known.where(remainder(F.col("key"), folds) != 0).orderBy(F.xxhash64("key"), "key").limit(sample)
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.char_length("text") <= LONGEST)
-    rows = texts.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    found = written(texts.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"), F.max("label").alias("label")), "sample")
+    left, keys = characters, []
+    for row in found.select("key", F.char_length("text").alias("size"), F.xxhash64("key").alias("h")).orderBy("h", "key").collect():  # of ``sample`` rows at most
+        if row.size <= left:
+            left -= row.size
+            keys.append(row.key)
+    rows = found.where(F.col("key").isin(keys)).collect() if len(keys) < found.count() else found.collect()
+    forget(found)
     rows.sort(key=lambda r: r.key)
     return fit([r.text for r in rows], [int(r.label > 0) for r in rows])
 
