@@ -1,7 +1,8 @@
 """The domain's tables, bound to the tables that a data folder has. Each comes as a DataFrame and as DuckDB SQL.
 
-Postings come from documents: a posting's body is the document's text, and its short fields are chosen by the
-document's id from the lists below, so that every rule has rows that it holds for.
+Postings come from documents: a posting's description is a phrase of a listing and the whole text of the document
+after it; its short fields are chosen by the document's id from the lists below, so that every rule has rows that it
+holds for. Queries that compare all postings of like titles with each other take the phrase alone.
 """
 
 from __future__ import annotations
@@ -47,23 +48,25 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark_pick(TITLES).alias("title"),
         spark_pick(COMPANIES, 2).alias("company"),
         F.concat(spark_pick(URLS, 5), (F.col("doc_id") % 400).cast("string"), F.when(F.col("doc_id") % 3 == 0, "/?utm=1#top").otherwise("")).alias("url"),
-        spark_pick(PHRASES, 7).alias("description"),
+        F.concat_ws(" ", spark_pick(PHRASES, 7), F.coalesce("text", F.lit(""))).alias("description"),
+        spark_pick(PHRASES, 7).alias("phrase"),
         spark_pick(PLACES, 11).alias("location"),
         spark_pick(SALARIES, 13).alias("salary"),
         F.when(F.col("doc_id") % 17 != 0, F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(days=(F.col("doc_id") % 45).cast("int"), hours=(F.col("doc_id") % 24).cast("int"))).alias("posted_at"),
         spark_pick(REMOTE_TYPES).alias("remote_type"),
         spark_pick(SENIORITIES, 3).alias("seniority"),
         (F.col("doc_id") % 10 != 0).alias("is_active"),
+        (F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(days=(F.col("doc_id") % 9).cast("int"))).alias("scraped_at"),
         F.col("text").alias("body"),
         "lang",
     )
 
 
 POSTINGS = f"""SELECT doc_id, 'ext-' || (doc_id % 800) AS external_id, {pick(SOURCES, 3)} AS source, {pick(TITLES)} AS title, {pick(COMPANIES, 2)} AS company,
-  {pick(URLS, 5)} || (doc_id % 400) || CASE WHEN doc_id % 3 = 0 THEN '/?utm=1#top' ELSE '' END AS url, {pick(PHRASES, 7)} AS description,
+  {pick(URLS, 5)} || (doc_id % 400) || CASE WHEN doc_id % 3 = 0 THEN '/?utm=1#top' ELSE '' END AS url, {pick(PHRASES, 7)} || ' ' || coalesce(text, '') AS description, {pick(PHRASES, 7)} AS phrase,
   {pick(PLACES, 11)} AS location, {pick(SALARIES, 13)} AS salary,
   CASE WHEN doc_id % 17 <> 0 THEN TIMESTAMP '{AS_OF}' - to_days((doc_id % 45)::INT) - to_hours(doc_id % 24) END AS posted_at,
-  {pick(REMOTE_TYPES)} AS remote_type, {pick(SENIORITIES, 3)} AS seniority, doc_id % 10 <> 0 AS is_active, text AS body, lang
+  {pick(REMOTE_TYPES)} AS remote_type, {pick(SENIORITIES, 3)} AS seniority, doc_id % 10 <> 0 AS is_active, TIMESTAMP '{AS_OF}' - to_days((doc_id % 9)::INT) AS scraped_at, text AS body, lang
 FROM documents WHERE doc_id IS NOT NULL"""
 
 

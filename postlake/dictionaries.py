@@ -89,7 +89,7 @@ SENIORITY_STEPS = {"intern": 0, "junior": 1, "mid_level": 2, "senior": 3, "staff
 QUERY_STOP_WORDS = ["engineer", "developer", "remote", "job", "jobs", "role", "roles"]
 WORLDWIDE = [r"\bworldwide\b", r"\bglobal(?:ly)?\s+(?:team|company|hiring|remote|position)\b", r"\banywhere\b", r"\bwork\s+from\s+anywhere\b", r"\b100%\s*remote\b", r"\bfully\s+remote\b", r"\bremote\s+first\b", r"\bremote\s+-\s+global\b", r"\bno\s+location\s+(?:restriction|requirement|limit)\b", r"\bopen\s+to\s+(?:all|everyone|global)\b", r"\binternational\s+(?:team|hiring|remote)\b"]
 HIRES_IN_INDIA = [r"\bindia\b", r"\bindian\s+(?:applicants?|candidates?|developers?|engineers?|professionals?)\b", r"\bhiring\s+(?:from|in)\s+india\b", r"\basia\s+(?:pac(?:ific)?|timezone)\b", r"\b(?:ist|gmt\s*\+5:?30)\b", r"\b(?:bangalore|bengaluru|mumbai|pune|hyderabad|chennai|delhi|gurgaon|noida)\b"]
-LOCAL_ONLY = [r"\bin\s+our\s+(?:office|headquarters?|location)\b", r"\bhybrid\s+(?:work|model|mode)\b", r"\bonsite\b", r"\b(?:must|required)\s+to\s+(?:be\s+)?(?:based|located)\s+in\b"]
+LOCAL_ONLY = [r"\bin\s+our\s+(?:office|headquarters?|location)\b", r"\bhybrid\s+(?:work|model|mode)\b", r"\bonsite\b", r"\b(?:must|required)\s+to\s+(?:be\s+)?(?:based|located)\s+in\b", r"\b(?:poland|warsaw|krakow|wrocław|poznań|gdańsk|gdynia|sopot|katowice|łódź|szczecin|lublin|bydgoszcz|toruń|bieńsko|rzeszów|częstochowa|radom|zielona|gorzów|opole|elbląg|płock|wałbrzych|tarnów|kielce|kalisk|gliwice|zabrze|bielsko|bytom|rybnik|ruda|tychy|dąbrowa|chorzów|jastrzębie|jelenia|nowy|sącz|siedlce|konin|piotrków|inowrocław|ostrołęka|suwałki|stargard|gniezno|leszno|przemyśl|łomża|łowicz|oświęcim|świdnica|chełm|skierniewice|starachowice|kołobrzeg|tomaszów|krotoszyn|jarosław|nowa|sól|jasło|dębica|zawiercie|międzyrzecz|aleksandrów|łuków|sandomierz|hajnówka|sejny|lidzbark|bartoszyce|ełk|giżycko|węgorzewo|olecko|pisz|mrągowo|nidzica|działdowo|nowe|miasto|lubawa|iława|ostróda|morąg|pasłęk|braniewo|gołdap)\b"]
 ZONES = r"\b(?:gmt|utc)\s*[+-]\d{1,2}"
 SUSPICIOUS_NAMES = [r"test\s+company", r"example\s+corp", r"dummy\s+inc", r"unknown", r"anon(?:ymous)?", r"sample\s+firm", r"temp\s+agency"]
 LEGITIMATE_SIGNALS = [r"\b(?:apply|application|requirement|qualification|responsibilit)", r"\b(?:email|resume|cv|portfolio|github|linkedin)\b", r"\b(?:experience|skill|technology|stack|tool)\b", r"\b(?:benefit|salary|compensation|equity|stock)\b", r"\b(?:team|culture|mission|vision|value)\b"]
@@ -98,6 +98,68 @@ ADAPTER_SPAM = ["bitcoin", "crypto", "forex", "mlm", "pyramid", "guarantee", "no
 SENIORITY_PATTERNS = [("intern", r"\bintern\b|\btrainee\b|\bapprentice\b"), ("junior", r"\bjunior\b|\bentry[\s-]?level\b|\bgraduate\b|\bnew grad\b"), ("senior", r"\bsenior\b|\bsr\.?\b|staff|\bprincipal\b"), ("lead", r"\blead\b|\bhead of\b"), ("manager", r"\bmanager\b"), ("director", r"\bdirector\b"), ("vp", r"\bvp\b|\bvice president\b"), ("executive", r"\bexecutive\b|\bcto\b|\bceo\b|\bcfo\b")]
 FAKE_SIGNALS = [r"earn \$?\d+k?/?(?:day|week)", r"no experience needed.*(?:high|great) pay", r"work from home.*\$?\d+k", r"click here to apply", r"apply.*now.*limited", r"bit\.ly|tinyurl|shortlink", r"make money fast", r"immediate start.*no experience", r"unlimited earning potential", r"be your own boss", r"copy and paste"]
 JOB_TYPES = {"full-time": "full_time", "full time": "full_time", "part-time": "part_time", "part time": "part_time", "contract": "contract", "internship": "internship", "freelance": "freelance", "temporary": "temporary"}
-CERTIFICATES = ["aws certified", "aws solutions architect", "aws developer", "aws sysops", "azure certified", "azure administrator", "azure developer", "gcp certified", "google cloud certified", "pmp", "project management professional", "scrum master", "csm", "cspo", "agile certified", "ccna", "ccnp", "ccie", "cisco", "cissp", "ceh", "google cloud professional", "microsoft certified", "oracle certified", "salesforce certified", "kubernetes certified", "cka", "ckad", "docker certified", "red hat certified", "tableau certified", "power bi certified"]
+CERTIFICATES = ["aws certified", "aws solutions architect", "aws developer", "aws sysops", "azure certified", "azure administrator", "azure developer", "gcp certified", "google cloud certified", "pmp", "project management professional", "scrum master", "csm", "cspo", "agile certified", "ccna", "ccnp", "ccie", "cisco", "cissp", "ceh", "security+", "google cloud professional", "microsoft certified", "oracle certified", "salesforce certified", "kubernetes certified", "cka", "ckad", "docker certified", "red hat certified", "tableau certified", "power bi certified"]
 CV_YEARS = [r"(\d+(?:\.\d+)?)\+?\s*years?\s*(?:of\s*)?(?:experience|work|professional\s*experience)", r"(\d+(?:\.\d+)?)\s*years?\s*(?:of\s*)?(?:total\s*)?experience", r"experience\s*:\s*(\d+(?:\.\d+)?)\+?\s*years?", r"total\s*experience\s*:\s*(\d+(?:\.\d+)?)\+?\s*years?", r"(\d+(?:\.\d+)?)\s*years?\s*of\s*professional\s*experience"]
+QUERY_ROLES = {
+    "devops": "devops", "sre": "devops", "site reliability": "devops", "platform engineer": "devops", "infrastructure": "devops", "cloud engineer": "devops",
+    "backend": "backend", "back-end": "backend", "back end": "backend",
+    "frontend": "frontend", "front-end": "frontend", "front end": "frontend",
+    "full stack": "fullstack", "fullstack": "fullstack", "full-stack": "fullstack",
+    "data": "data", "data science": "data", "ml": "data", "machine learning": "data", "ai": "data",
+    "mobile": "mobile", "ios": "mobile", "android": "mobile",
+    "security": "security",
+    "qa": "qa", "quality assurance": "qa", "test": "qa",
+}
+COUNTRIES = r"\b(?:usa|uk|germany|france|spain|portugal|netherlands|sweden|norway|denmark|finland|czech|australia|japan|singapore|brazil|canada|mexico|argentina|chile|colombia)\b"
+KNOWN_COMPANIES = [
+    "google", "amazon", "meta", "microsoft", "apple", "netflix", "spotify", "stripe", "datadog", "cloudflare", "gitlab", "hashicorp", "docker", "vercel", "netlify", "supabase", "railway", "fly.io", "render",
+    "digitalocean", "linode", "mongodb", "elastic", "grafana", "prometheus", "snyk", "palantir", "red hat", "ibm", "oracle", "salesforce", "twitter/x", "shopify", "github", "figma", "notion", "linear", "retool", "airtable",
+    "zapier", "intercom", "hubspot", "atlassian", "twilio", "sendgrid", "confluent", "databricks", "snowflake", "cockroach labs", "neon", "planetscale", "cockroachdb", "motherduck", "dagster", "airbyte",
+    "temporal", "hasura", "appwrite", "liveblocks", "magic", "workos", "clerk", "plaid", "brex", "ramp", "deel", "remote", "multi", "safetywing", "borderless", "omni",
+    "automattic", "buffer", "vox media", "verizon media", "zillow", "reddit", "discord", "twitch", "youtube", "medium", "substack", "ghost", "revenuecat", "paddle", "lemonsqueezy", "stax",
+    "segment", "amplitude", "mixpanel", "heap", "hotjar", "fullstory", "clickhouse", "materialize", "risingwave", "tidb", "dgraph", "neo4j", "redis", "memcached", "nats", "eventstore", "apache",
+    "cncf", "linux foundation", "cloud native", "alibaba", "tencent", "baidu", "bytedance", "tiktok", "alibaba cloud", "huawei", "samsung", "lg", "naver", "kakao", "coupang", "grab", "gojek",
+    "traveloka", "bukalapak", "tokopedia", "shopee", "lazada",
+]
+BLOCKED_HOSTS = ["linkedin.com", "glassdoor.com", "twitter.com", "x.com", "facebook.com", "instagram.com", "indeed.com/viewjob"]
+CLUSTER_PRIORITY = {"greenhouse": 10, "github_jobs": 9, "devto_jobs": 9, "wellfound": 8, "authentic_jobs": 8, "indie_hackers": 8, "weworkremotely": 7, "remotive": 5, "remoteok": 4, "rss_feeds": 3}
+BOARD_SUFFIXES = [" LinkedIn Board", " LinkedIn", " Board", " Careers"]
+TITLE_BREAKS = [" | ", " - ", " – ", " · ", " — ", " : "]
+CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "₹": "INR", "¥": "JPY", "AUD": "AUD", "CAD": "CAD"}
+PAY_PERIODS = [("hourly", ["hour", "hr"]), ("monthly", ["month", "mo"]), ("yearly", ["year", "yr", "annually"])]
+PAY_RANGES = [r"[\$€£₹¥]?(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*[-–to]\s*[\$€£₹¥]?(\d{1,3}(?:,\d{3})*(?:\.\d+)?)", r"(\d{1,3})k?\s*[-–to]\s*(\d{1,3})k?", r"(\d{5,7})\s*[-–to]\s*(\d{5,7})"]
+PAY_SINGLE = r"[\$€£₹¥]?(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*k?"
+PAY_IN_TEXT = [r"[\$€£]\s*[\d,]+(?:k|K)?(?:\s*[-–to]+\s*[\$€£]?\s*[\d,]+(?:k|K)?)?", r"\d[\d,]*\s*[-–to]+\s*\d[\d,]*\s*(?:USD|EUR|GBP)?"]
+PLACE_TYPES = [("remote", ["remote", "wfh", "work from home", "telecommute"]), ("hybrid", ["hybrid", "flexible"]), ("onsite", ["onsite", "on-site", "office"])]
+PLACE_COUNTRIES = ["united states", "usa", "us", "united kingdom", "uk", "canada", "australia", "germany", "france", "india", "netherlands", "spain"]
+DEGREES = [r"(bachelor|master|phd|doctorate|b\.s\.|m\.s\.|b\.a\.|m\.a\.|b\.tech|m\.tech|b\.e|m\.e)", r"(computer science|software engineering|information technology|data science|computer engineering)", r"(mba|mca|bca|b\.com|m\.com)"]
+EDUCATION_OPENS = ["education", "academic", "university", "college", "qualification"]
+EDUCATION_CLOSES = ["experience", "work", "skills", "projects"]
+FORM_FIELDS = {
+    "firstname": ["firstname", "first name", "givenname", "forename"],
+    "lastname": ["lastname", "last name", "surname", "familyname"],
+    "email": ["email", "e-mail", "mail"],
+    "phone": ["phone", "telephone", "mobile", "phonenumber", "cell", "contactnumber"],
+    "linkedinurl": ["linkedin", "linked in"],
+    "githuburl": ["github", "git hub"],
+    "portfoliourl": ["portfolio", "portfolio url"],
+    "website": ["website", "personal website", "homepage", "url"],
+    "city": ["city", "town"],
+    "state": ["state", "province", "region"],
+    "country": ["country", "nation"],
+    "postalcode": ["postalcode", "postal code", "zip", "zipcode"],
+    "headline": ["headline", "professional title", "current title"],
+    "professionalsummary": ["summary", "professionalsummary", "bio", "about me", "professional summary"],
+    "company": ["company", "employer", "organization", "current company", "current employer"],
+    "jobtitle": ["position", "job title", "role", "title", "job position", "jobtitle"],
+    "explocation": ["location", "where located", "located", "where are you located", "work location", "job location"],
+    "startdate": ["start date", "startdate", "from", "start"],
+    "enddate": ["end date", "enddate", "to", "end", "finish"],
+    "school": ["school", "university", "college", "institution", "educational institution"],
+    "degree": ["degree", "qualification", "education level", "education"],
+    "gpa": ["gpa", "grade point average", "grade point", "overall result"],
+}
 # End of fixed values.
+
+#: Common words by which a text counts as English where no language is stated; this library's choice.
+ENGLISH_WORDS = ["the", "of", "and", "a", "to", "in", "is", "for", "that", "with", "on", "as", "are", "be", "you", "we", "our", "will", "or", "by", "this", "at", "from", "have", "it"]

@@ -57,6 +57,27 @@ def title_company_md5(title: Column, company: Column) -> Column:
     return F.md5(F.concat_ws("|", bare(title), bare(company)))
 
 
+def legacy_signature(title: Column, company: Column, description: Column) -> Column:
+    """The form that older records carry: the description is cut before its marks are dropped."""
+    bare = lambda c: F.regexp_replace(F.lower(text_or_empty(c)), "[^a-z0-9]", "")
+    return F.substring(F.sha2(F.concat_ws("|", bare(title), bare(company), bare(F.substring(description, 1, 200))), 256), 1, 16)
+
+
+def title_tokens(c: Column) -> Column:
+    return F.array_distinct(F.split(standard_title(c), " "))
+
+
+def expanded_query(query: str, most: int = 3) -> str:
+    """The query and up to so many single words of the first role that one of its words or phrases tells."""
+    low = query.lower()
+    for words in D.ROLES.values():
+        if any(w in low for w in words):
+            new = [w for w in dict.fromkeys(words) if " " not in w and w not in low.split()][:most]
+            if new:
+                return " ".join([query, *new])
+    return query
+
+
 def external_id(source: Column, url: Column, title: Column) -> Column:
     return F.substring(F.sha2(F.concat(source, F.lit(":"), F.coalesce(F.when(url != "", url), title, F.lit(""))), 256), 1, 32)
 

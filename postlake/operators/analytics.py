@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.functions.numbers import salary_range
+from postlake.functions.numbers import days_between, salary_range
 
 
 def named(c: str) -> Column:
@@ -92,3 +92,55 @@ def alerts(runs: DataFrame, share: float, per: str = "source") -> DataFrame:
     """Sources of whose runs more than a share failed, with how bad it is."""
     h = health(runs).where(F.col("failed") > F.col("runs") * share)
     return h.select(per, "failure_rate", F.when(F.col("failure_rate") > 35, "critical").when(F.col("failure_rate") > 25, "warning").otherwise("info").alias("severity"))
+
+
+def stats(jobs: DataFrame, applied: DataFrame, as_of: str, days: int = 14) -> DataFrame:
+    """(dimension, name, n) of active jobs: all, those applied to, those read today, and counts by technology, size, source and day."""
+    active = jobs.where("is_active")
+    today = F.lit(as_of).cast("date").cast("timestamp_ntz")
+    totals = active.agg(F.count("*").alias("all"), F.count_if(F.col("scraped_at") >= today).alias("new"))
+    one = lambda df, dimension, n: df.select(F.lit(dimension).alias("dimension"), F.lit("all").alias("name"), F.col(n).alias("n"))
+    by = lambda name, dimension: active.groupBy(name.cast("string").alias("name")).agg(F.count("*").alias("n")).select(F.lit(dimension).alias("dimension"), "name", "n")
+    tech = F.explode(F.split(F.when(F.coalesce("tech_stack", F.lit("")) == "", "Unknown").otherwise(F.col("tech_stack")), ", "))
+    techs = active.select(tech.alias("name")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("tech").alias("dimension"), "name", "n")
+    by_day = active.groupBy(F.coalesce("posted_at", "scraped_at").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    all_days = jobs.sparkSession.range(1).select(calendar(as_of, days).alias("day")).join(by_day, "day", "left").select(F.lit("day").alias("dimension"), F.col("day").cast("string").alias("name"), F.coalesce("n", F.lit(0)).alias("n"))
+    mine = active.join(applied.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*").alias("mine"))
+    out = one(totals, "total", "all").unionByName(one(mine, "applied", "mine")).unionByName(one(totals, "new today", "new"))
+    return out.unionByName(techs).unionByName(by(named("company_size"), "size")).unionByName(by(F.col("source"), "source")).unionByName(all_days)
+
+
+def source_rates(jobs: DataFrame) -> DataFrame:
+    """Active jobs by source: all count as matched, and the shares of repeats and of verified remote work."""
+    n = F.count("*")
+    return jobs.where("is_active").groupBy("source").agg(n.alias("total_scraped"), n.alias("total_matched"), rate(n, n).alias("match_rate"), rate(F.count_if("is_duplicate"), n).alias("duplicate_rate"), rate(F.count_if("is_verified_remote"), n).alias("verified_remote_rate"), F.count_if(F.col("salary") != "").alias("salary_data_available"))
+
+
+def salaries_by(jobs: DataFrame, dimensions: dict[str, str]) -> DataFrame:
+    """Mean salaries by each of the dimensions, and overall of rows with both ends: one pass by grouping sets."""
+    s = jobs.withColumn("_s", salary_range(F.col("salary"))).withColumn("mid", middle_salary(F.col("_s.low"), F.col("_s.high"))).where("mid IS NOT NULL")
+    both = (F.col("_s.low") > 0) & (F.col("_s.high") > 0)
+    columns = list(dimensions.values())
+    sets = s.groupingSets([[c] for c in columns] + [[]], *columns).agg(F.count("*").alias("all"), F.count_if(both).alias("whole"), F.avg("mid").alias("mean"), F.avg(F.when(both, F.col("mid"))).alias("mean_whole"))
+    told = F.lit(None).cast("string")
+    for dimension, column in dimensions.items():
+        told = F.coalesce(F.when(F.col(column).isNotNull(), F.lit(dimension)), told)
+    overall = told.isNull()
+    return sets.select(F.coalesce(told, F.lit("overall")).alias("dimension"), F.coalesce(*columns, F.lit("all")).alias("name"), F.when(overall, F.col("whole")).otherwise(F.col("all")).alias("n"), F.round(F.when(overall, F.col("mean_whole")).otherwise(F.col("mean")), 2).alias("mean"))
+
+
+def incremented(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Counts by key with those of new rows added; keys of either side stay."""
+    return old.unionByName(new).groupBy(key).agg(*(F.sum(c).alias(c) for c in old.columns if c != key))
+
+
+def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old without the keys that new has, and new."""
+    return old.join(new.select(key).distinct(), key, "left_anti").select(old.columns).unionByName(new)
+
+
+def quality_view(scored: DataFrame, as_of: str) -> DataFrame:
+    """By day and source: counts of repeats, spam and high scores, their shares, and mean score and age."""
+    n, repeats, spam = F.count("*"), F.count_if("is_duplicate"), F.count_if(F.col("spam_indicator") > 0.5)
+    age = days_between(F.lit(as_of).cast("timestamp_ntz"), F.col("posted_at"))
+    return scored.where("posted_at IS NOT NULL").groupBy(F.col("posted_at").cast("date").alias("day"), "source").agg(n.alias("n"), repeats.alias("duplicates"), spam.alias("spam"), F.count_if(F.round("final_score", 6) > 7.0).alias("high_quality"), F.round(F.avg("final_score"), 5).alias("mean_score"), F.round(F.avg(age), 5).alias("mean_age_days"), rate(repeats, n).alias("duplicate_ratio"), rate(spam, n).alias("spam_ratio"))

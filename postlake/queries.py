@@ -44,12 +44,17 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def letters(expr: str) -> str:
+    """expr in lower case with an ASCII letter for each other Latin one: DuckDB takes those for word boundaries, the rules and Spark don't."""
+    return f"regexp_replace(lower({expr}), '[\\x{{C0}}-\\x{{24F}}]', 'x', 'g')"
+
+
 def hits(expr: str, patterns: list[str]) -> str:
-    return f"regexp_matches(lower({expr}), {lit(T.any_of(patterns))})"
+    return f"regexp_matches({letters(expr)}, {lit(T.any_of(patterns))})"
 
 
 def words(expr: str, ws: list[str]) -> str:
-    return f"regexp_matches(lower({expr}), {lit(T.words_pattern(ws))})"
+    return f"regexp_matches({letters(expr)}, {lit(T.words_pattern(ws))})"
 
 
 def holds(expr: str, phrases: list[str]) -> str:
@@ -449,10 +454,10 @@ def snapshot_activation(spark, sf):
     return upsert.activated(p, p.where("source = 'remotive'"), "doc_id").select("doc_id", "is_active")
 
 
-@query(P + ", t AS (SELECT url, max(" + tagless_sql("html") + ") AS page FROM pages GROUP BY 1) SELECT p.doc_id, md5(CASE WHEN length(description) < 100 AND page IS NOT NULL THEN page ELSE description END) AS d FROM (SELECT p.* REPLACE (q.url AS url) FROM p LEFT JOIN pages q ON q.page_id = p.doc_id) p LEFT JOIN t USING (url)")
+@query(P + ", t AS (SELECT url, max(" + tagless_sql("html") + ") AS page FROM pages GROUP BY 1) SELECT p.doc_id, md5(CASE WHEN length(phrase) < 100 AND NOT " + holds("coalesce(url, '')", D.BLOCKED_HOSTS) + " AND page IS NOT NULL THEN page ELSE phrase END) AS d FROM (SELECT p.* REPLACE (q.url AS url) FROM p LEFT JOIN pages q ON q.page_id = p.doc_id) p LEFT JOIN t USING (url)")
 def description_backfill(spark, sf):
     pages = B.table(spark, sf, "pages")
-    p = postings(spark, sf).drop("url").join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id", "left")
+    p = postings(spark, sf).drop("url").withColumn("description", F.col("phrase")).join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id", "left")
     return backfilled(p, pages).select("doc_id", F.md5("description").alias("d"))
 
 
@@ -525,7 +530,7 @@ def semantic_pairs(spark, sf):
 
 @query()
 def near_duplicate_pairs(spark, sf):
-    return dedup.near_with_members(postings(spark, sf), 0.75)
+    return dedup.near_with_members(postings(spark, sf).withColumn("description", F.col("phrase")), 0.75)
 
 
 @query()
@@ -552,8 +557,9 @@ def auth_walls(spark, sf):
 
 
 PHRASE_COUNT = lambda e: "(" + " + ".join(f"contains(lower({e}), {lit(p)})::INT" for p in D.ADAPTER_SPAM) + ")"
-WORLD = f"({hits(TDL, D.WORLDWIDE)} OR {hits(TDL, D.HIRES_IN_INDIA)} OR ({hits(TDL, [r'\bremote\b'])} AND NOT {hits(TDL, D.LOCAL_ONLY)}) OR len(regexp_extract_all(lower({TDL}), {lit(D.ZONES)})) >= 2)"
-LEGIT = f"(NOT {hits('company', D.SUSPICIOUS_NAMES)} AND NOT (NOT regexp_matches(description, '(?i)https?://\\S+') AND len(list_filter(string_split_regex(description, '\\s+'), lambda w: w <> '')) < 50) AND {count_sql('description', D.LEGITIMATE_SIGNALS)} >= 2)"
+WORLD = f"({hits(TDL, D.WORLDWIDE)} OR {hits(TDL, D.HIRES_IN_INDIA)} OR ({hits(TDL, [r'\bremote\b'])} AND NOT {hits(TDL, D.LOCAL_ONLY)}) OR len(regexp_extract_all(lower({TDL}), {lit(D.ZONES)})) >= 2 OR len(regexp_extract_all(lower({TDL}), {lit(D.COUNTRIES)})) >= 3)"
+KNOWN = "(" + " OR ".join(f"starts_with(lower(trim(company)), {lit(k)})" for k in D.KNOWN_COMPANIES) + ")"
+LEGIT = f"({KNOWN} OR NOT {hits('company', D.SUSPICIOUS_NAMES)} AND NOT (NOT regexp_matches(description, '(?i)https?://\\S+') AND len(list_filter(string_split_regex(description, '\\s+'), lambda w: w <> '')) < 50) AND {count_sql('description', D.LEGITIMATE_SIGNALS)} >= 2)"
 GUESS = case([(f"regexp_matches(lower({TDL}), {lit(p)})", lit(s)) for s, p in D.SENIORITY_PATTERNS], "'unknown'")
 WHERE = case([(hits(TDL, [r"\bremote\b", r"\bworldwide\b", r"\banywhere\b", r"\bglobal\b"]), "'fully_remote'"), (hits(TDL, [r"\bhybrid\b"]), "'hybrid'")], "'unknown'")
 

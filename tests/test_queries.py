@@ -1,5 +1,6 @@
 import pytest
 
+from postlake import views  # noqa: F401  registers more queries
 from postlake.queries import ORACLES, QUERIES
 from tests.helpers import DATA, same_as_sql
 

@@ -128,7 +128,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"jobs": [{"id": 7, "title": "Dev", "company_name": "Acme", "url": "u", "description": "<p>d</p>", "candidate_required_location": "Worldwide", "salary": "", "publication_date": "2024-01-01"}]}')
     [r] = readers.read_json(spark, str(tmp_path / "a.json"), "remotive").collect()
     assert (r.external_id, r.company, r.location, r.posted_at) == ("remotive-7", "Acme", "Worldwide", "2024-01-01")
-    (tmp_path / "f.xml").write_text("<rss><channel><item><title>Acme: Dev</title><link>u</link><description>&lt;b&gt;hi&lt;/b&gt; there</description><category>Remote</category><category>x</category></item></channel></rss>")
+    (tmp_path / "f.xml").write_text("<rss><channel><item><title>Acme: Developer</title><link>u</link><description>&lt;b&gt;hi&lt;/b&gt; there</description><category>Remote</category><category>x</category></item></channel></rss>")
     [r] = readers.read_rss(spark, str(tmp_path / "f.xml"), "feed").collect()
     assert (r.company, r.description, r.location) == ("Acme", "hi there", "Remote") and len(r.external_id) == 32
     (tmp_path / "p.html").write_text("<html><head><title> A  page </title><script>x()</script></head><body>Text &amp; more</body></html>")
