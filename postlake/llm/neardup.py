@@ -251,10 +251,14 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     buckets = written(bands.join(shared, "bv"), "buckets")
     weights = buckets.groupBy("c").agg(F.sum("members").alias("weight"))
     about = written(classes.select("c", "n", F.col("pick.key").alias("key"), F.col("pick.h").alias("h")).join(weights, "c"), "about")
+    # of classes that share no bucket nothing but names is needed from here on
+    regs = written(classes.select("c", "n", "regs").join(about.select("c"), "c"), "registers")
+    named, counted = written(classes.select("c", "k", "pick.key"), "names"), written(rows.select("key", "h", "n", "k"), "sizes")
+    forget(rows, classes)
     # the texts of all classes that share a bucket, read once
     found = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).alias("d").join(about.select("c", "key", "h").alias("w"), F.expr("d.h = w.h AND d.key <=> w.key"))
     texts = written(found.select("c", "text").dropDuplicates(["c"]), "texts")
-    tables = [rows, classes, buckets, about, texts]
+    tables = [regs, named, counted, buckets, about, texts]
 
     fits = F.least("n", "nb") * least[1] >= F.greatest("n", "nb") * least[0]
     members = buckets.select("c", "bv").join(about.select("c", "n", "weight"), "c").withColumn("comp", F.col("c"))
@@ -274,7 +278,7 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
             pairs = sharing(lists, least)
             tables += [rest, lists]
         pairs = written(pairs, "pairs")
-        likely = written(estimated(pairs, classes, least), "likely")
+        likely = written(estimated(pairs, regs, least), "likely")
         new = written(verified(likely, texts, n, least), "links")
         tables += [pairs, likely, new]
         if links is None or new.head(1):
@@ -282,9 +286,9 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
             comps = components(links)
             tables.append(comps)
 
-    low = comps.join(classes.select("c", "pick.key"), "c").groupBy("comp").agg(F.min("key").alias("low"))
-    ids = written(classes.select("c", "k", "pick.key").join(comps.join(low, "comp").select("c", "low"), "c", "left").select("k", F.coalesce("low", "key").alias("component_id")), "components")
-    out = written(rows.select("key", "h", "n", "k").join(ids, "k", "left").select(F.col("key").alias(key), "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")), "rows")
+    low = comps.join(named, "c").groupBy("comp").agg(F.min("key").alias("low"))
+    ids = written(named.join(comps.join(low, "comp").select("c", "low"), "c", "left").select("k", F.coalesce("low", "key").alias("component_id")), "components")
+    out = written(counted.join(ids, "k", "left").select(F.col("key").alias(key), "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")), "rows")
     forget(*tables, ids)
     return out
 
