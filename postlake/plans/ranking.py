@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postlake import dictionaries as D
 from postlake.functions.text import holds, text_or_empty
 
+RANGE = 1 << 16
 TEXT = ("title", "company", "url", "description", "location", "salary")
 
 
@@ -91,13 +92,14 @@ def ranked(postings: DataFrame, as_of: str) -> DataFrame:
     return out.withColumns({"remote_label": label, "spam_indicator": 1.0 - F.col("quality") / 10.0})
 
 
-def with_percentile(scored: DataFrame, parts: list | None = None) -> DataFrame:
-    """Rank by score and the share of rows at or below. Ranks are global, but no task sorts all rows: scores are counted by value first and only the counts are accumulated, range by range."""
-    counts = scored.groupBy("final_score").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("final_score") * 1000).cast("int"))
+def with_percentile(scored: DataFrame) -> DataFrame:
+    """Rank by score, then id, and the share of rows at or below. Ranks are global, but no task sorts all rows, nor all of a frequent score: rows are counted by score and range of RANGE ids, only the counts are accumulated, range by range of scores, and rows are numbered within their count."""
+    rows = scored.withColumn("_ids", F.floor(F.col("doc_id") / RANGE))
+    counts = rows.groupBy("final_score", "_ids").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("final_score") * 1000).cast("int"))
     bins = counts.groupBy("bin").agg(F.sum("n").alias("in_bin"))  # at most 10,001 rows
     above_bin = bins.withColumn("above_bin", F.coalesce(F.sum("in_bin").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("in_bin").over(Window.partitionBy()))
-    inside = Window.partitionBy("bin").orderBy(F.desc("final_score")).rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.join(F.broadcast(above_bin), "bin").select("final_score", (F.col("above_bin") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"), "total")
-    tied = Window.partitionBy("final_score").orderBy("doc_id")
-    out = scored.join(places, "final_score").withColumn("rank", (F.col("before") + F.row_number().over(tied)).cast("long"))
-    return out.withColumn("percentile", (F.col("total") - F.col("rank") + 1) * 100.0 / F.col("total")).drop("before", "total")
+    inside = Window.partitionBy("bin").orderBy(F.desc("final_score"), "_ids").rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.join(F.broadcast(above_bin), "bin").select("final_score", "_ids", (F.col("above_bin") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"), "total")
+    tied = Window.partitionBy("final_score", "_ids").orderBy("doc_id")
+    out = rows.join(places, ["final_score", "_ids"]).withColumn("rank", (F.col("before") + F.row_number().over(tied)).cast("long"))
+    return out.withColumn("percentile", (F.col("total") - F.col("rank") + 1) * 100.0 / F.col("total")).drop("before", "total", "_ids")

@@ -523,9 +523,10 @@ def ats_score(spark, sf):
 # ---- similarity
 
 
-@query("WITH s AS (SELECT a.vec_id, b.vec_id AS other_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT vec_id, other_id, round(s, 6) AS similarity FROM s WHERE s >= 0.35")
+@query("WITH s AS (SELECT a.vec_id, b.vec_id AS other_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) SELECT vec_id, other_id, round(s, 6) AS similarity FROM s WHERE s >= 0.35")
 def semantic_pairs(spark, sf):
-    return dedup.semantic_pairs(B.table(spark, sf, "embeddings"), 0.35).withColumn("similarity", F.round("similarity", 6))
+    """The query set of ids divisible by 100 against all vectors, whatever their labels."""
+    return dedup.semantic_pairs(B.table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 0.35).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()

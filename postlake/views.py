@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from postlake import bindings as B
 from postlake import dictionaries as D
+from postlake import queries
 from postlake.functions import landing, pages
 from postlake.functions import text as T
+from postlake.functions.enrich import match_band
 from postlake.operators import analytics as A
 from postlake.operators import clusters, dedup, monitoring
 from postlake.plans import listing, ranking, records
@@ -340,6 +342,25 @@ def scrape_freshness(spark, sf):
     return monitoring.freshness(B.runs(spark, sf), postings(spark, sf), B.AS_OF, 5)
 
 
+# ---- matches
+
+
+@query()
+def cv_match_counts(spark, sf):
+    """Of each CV how many postings match, their mean score, and how many are strong or good."""
+    s = F.col("score")
+    return queries.cv_match(spark, sf).groupBy("cv_id").agg(F.count("*").alias("n"), F.round(F.avg(s), 4).alias("mean_score"), F.count_if(s >= 80).alias("strong"), F.count_if(s.between(50, 79)).alias("good"))
+
+
+@query()
+def matched_jobs(spark, sf):
+    """The fifty best matches of a CV among the postings of two weeks."""
+    since = F.lit(B.AS_OF).cast("timestamp_ntz") - F.make_dt_interval(F.lit(14))
+    recent = postings(spark, sf).where(F.col("posted_at") >= since).select("doc_id", "title", "company")
+    found = queries.cv_match(spark, sf).where("cv_id = 1").select("doc_id", "score").join(recent, "doc_id")
+    return found.orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", "title", "company", "score", match_band(F.col("score")).alias("band"))
+
+
 # ---- clusters
 
 PRIORITY = case([(f"source = {lit(k)}", str(v)) for k, v in D.CLUSTER_PRIORITY.items()], "0")
@@ -368,7 +389,7 @@ def cluster_analysis(spark, sf):
 def duplicate_cascade(spark, sf):
     """Matches of the distinct postings at the first of three levels: exact, fuzzy, then by their documents' vectors."""
     p = postings(spark, sf)
-    meant = dedup.semantic_pairs(B.table(spark, sf, "embeddings"), 0.6).select(F.col("vec_id").alias("doc_id"), "other_id", "similarity")
+    meant = dedup.semantic_pairs(B.table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 0.6).select(F.col("vec_id").alias("doc_id"), "other_id", "similarity")
     return clusters.cascade(clusters.exact_pairs(p), dedup.fuzzy_pairs(p), meant)
 
 
