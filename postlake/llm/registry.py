@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from postlake.llm import decontamination, neardup, sharding, topk
+from postlake.llm import decontamination, filter_audit, neardup, sharding, topk
 from postlake.llm.bpe import op1_byte_bpe
 from postlake.llm.chat import op9_chat_format
 from postlake.llm.katz import op8_katz_scores
@@ -19,10 +19,12 @@ QUERIES = {
     "op8_katz_scores": op8_katz_scores,
     "op9_chat_format": op9_chat_format,
     "op10_pivot_topk": topk.op10_pivot_topk,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 ORACLES = {
     "op3_near_duplicates": neardup.ORACLE,
     "op5_decontamination": decontamination.ORACLE,
     "op7_ring_sharding": sharding.oracle_sql(),
     "op10_pivot_topk": topk.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
