@@ -5,6 +5,7 @@ from postlake.llm.bpe import op1_byte_bpe
 from postlake.llm.chat import op9_chat_format
 from postlake.llm.katz import op8_katz_scores
 from postlake.llm.secrets import op6_secret_scan
+from postlake.llm.simhash import op12_simhash
 from postlake.llm.sstable import op4_sstable_ids
 from postlake.llm.toxicity import op2_toxicity
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_pivot_topk": topk.op10_pivot_topk,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_simhash": op12_simhash,
 }
 ORACLES = {
     "op3_near_duplicates": neardup.ORACLE,
