@@ -91,7 +91,7 @@ def survivors(part: pa.Array, bits: np.ndarray, filters: int, labels: int) -> tu
 
 def set_counts(rows: DataFrame, filters: int, labels: int) -> DataFrame:
     """(part, counts) of rows (part string, bits int; bits of filters, then of labels): counts[s] holds how many rows of the part survive the set s of filters, in all and with each label."""
-    names = ["part", "s", *(f"n{j}" for j in range(1 + labels))]
+    most, names = PARTS, ["part", "s", *(f"n{j}" for j in range(1 + labels))]
     schema = pa.schema([("part", pa.string()), ("s", pa.int32()), *((n, pa.int64()) for n in names[2:])])
 
     def table(held: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -107,7 +107,7 @@ def set_counts(rows: DataFrame, filters: int, labels: int) -> DataFrame:
             parts, sums = survivors(batch.column(0), batch.column(1).to_numpy(), filters, labels)
             for part, own in zip(parts.to_pylist(), sums, strict=True):
                 held[part] = held[part] + own if part in held else own
-            if len(held) > PARTS:
+            if len(held) > most:
                 yield table(held)
                 held = {}
         if held:

@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from postlake.llm import decontamination, filter_audit, neardup, sharding, topk
+from postlake.llm import decontamination, filter_audit, merkle, neardup, sharding, topk
 from postlake.llm.bpe import op1_byte_bpe
 from postlake.llm.chat import op9_chat_format
 from postlake.llm.katz import op8_katz_scores
@@ -22,6 +22,7 @@ QUERIES = {
     "op10_pivot_topk": topk.op10_pivot_topk,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_simhash": op12_simhash,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLES = {
     "op3_near_duplicates": neardup.ORACLE,
@@ -29,4 +30,5 @@ ORACLES = {
     "op7_ring_sharding": sharding.oracle_sql(),
     "op10_pivot_topk": topk.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op13_merkle_manifest": merkle.oracle_sql(),
 }
