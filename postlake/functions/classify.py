@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlake import dictionaries as D
-from postlake.functions.text import hits, holds, joined, text_or_empty, words_pattern
+from postlake.functions.text import has_words, hits, holds, joined, low_of, text_or_empty
 
 
 def first_of(rules: list[tuple[Column, str]], otherwise: str | None = None) -> Column:
@@ -18,12 +18,12 @@ def first_of(rules: list[tuple[Column, str]], otherwise: str | None = None) -> C
 
 def role_category(title: Column, description: Column) -> Column:
     """The first category whose words are in the title, else in the description."""
-    by = lambda c: first_of([(F.lower(text_or_empty(c)).rlike(words_pattern(w)), r) for r, w in D.ROLES.items()])
+    by = lambda c: first_of([(has_words(c, w), r) for r, w in D.ROLES.items()])
     return F.coalesce(by(title), by(description))
 
 
 def is_relevant_role(title: Column, description: Column) -> Column:
-    return F.lower(joined(title, description)).rlike(words_pattern([w for ws in D.ROLES.values() for w in ws]))
+    return has_words(joined(title, description), [w for ws in D.ROLES.values() for w in ws])
 
 
 def is_junior(title: Column, description: Column) -> Column:
@@ -57,35 +57,36 @@ def verified_remote(location: Column, description: Column, title: Column) -> Col
 
 
 def globally_remote(location: Column, description: Column) -> Column:
-    both, text = joined(location, description), text_or_empty(description)
+    both, text = joined(location, description), joined(description)
     return (
         F.when(hits(text, D.GLOBAL_IN_TEXT) & ~hits(text, D.US_ONLY), True)
         .when(hits(both, D.REGION_ONLY), False)
         .when(hits(both, D.ON_SITE), False)
         .when(hits(both, D.REMOTE), True)
-        .otherwise((F.length(text) > 100) & hits(text, D.CLOUD_TOOLS))
+        .otherwise((F.length(text_or_empty(text)) > 100) & hits(text, D.CLOUD_TOOLS))
     )
 
 
 def outside_india(company: Column) -> Column:
     """Company names by substring, so a name inside another word counts."""
-    name = F.trim(F.lower(text_or_empty(company)))
-    return ~(holds(name, D.INDIAN_COMPANIES) | name.rlike(r"\b(india|pvt\.?\s*ltd|private limited)\b"))
+    name = F.trim(low_of(company))
+    return ~(holds(joined(company), D.INDIAN_COMPANIES) | name.rlike(r"\b(india|pvt\.?\s*ltd|private limited)\b"))
 
 
 def in_india(location: Column, description: Column) -> Column:
-    place, text = F.lower(text_or_empty(location)), F.lower(text_or_empty(description))
+    place, text, either = joined(location), joined(description), joined(location, description)
     remote = hits(text, D.REMOTE)
-    either = F.concat_ws(" ", place, text)
-    return holds(place, D.INDIAN_CITIES) | holds(text, D.INDIAN_CITIES) | ((holds(place, D.INDIAN_STATES) | holds(text, D.INDIAN_STATES)) & ~remote) | hits(either, [r"\bpincode\b", r"\bpin\s*code\b", r"\bindian\s+(?:time|rupees|standard|subcontinent)"]) | (place.rlike(r"\bindia\b") & ~remote)
+    city, state = (holds(place, names) | holds(text, names) for names in (D.INDIAN_CITIES, D.INDIAN_STATES))
+    return city | (state & ~remote) | hits(either, [r"\bpincode\b", r"\bpin\s*code\b", r"\bindian\s+(?:time|rupees|standard|subcontinent)"]) | (hits(place, [r"\bindia\b"]) & ~remote)
 
 
 def likely_fake(title: Column, description: Column, company: Column) -> Column:
-    both = F.lower(joined(title, description, company))
-    return hits(both, D.FAKE) | hits(both, D.SUSPICIOUS) | (F.regexp_count(both, F.lit(D.URGENT)) >= 3) | both.rlike(r"\b\d+.*\bdollar\b.*\bdaily\b")
+    both = joined(title, description, company)
+    urgent = F.when(has_words(both, ["urgent", "immediate", "asap", "today"]), F.regexp_count(low_of(both), F.lit(D.URGENT)) >= 3).otherwise(False)
+    return hits(both, D.FAKE) | hits(both, D.SUSPICIOUS) | urgent | hits(both, [r"\b\d+.*\bdollar\b.*\bdaily\b"])
 
 
 def tech_stack(c: Column) -> Column:
     """Names of the technologies that are mentioned, sorted."""
-    found = F.array(*(F.when(hits(text_or_empty(c), patterns), F.lit(name)) for name, patterns in D.TECH.items()))
+    found = F.array(*(F.when(hits(joined(c), patterns), F.lit(name)) for name, patterns in D.TECH.items()))
     return F.array_sort(F.array_compact(found))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postlake.functions.text import text_or_empty
+from postlake.functions.text import low_of, text_or_empty
 
 
 def parse_salary(c: Column) -> Column:
@@ -31,22 +31,28 @@ def salary_range(c: Column) -> Column:
 
 def experience_ranges(c: Column) -> Column:
     """Array of (low, high): ranges first, then single numbers; high is null after a plus."""
-    low = F.lower(text_or_empty(c))
+    low = low_of(c)
     span = r"\b(\d{1,2})\s*[-–to]+\s*(\d{1,2})\s*(?:years?|yrs?)\b"
     single = r"\b(\d{1,2})\s*\+?\s*(?:years?|yrs?)\b"
     number = lambda x, p, g: F.regexp_extract(x, p, g).cast("int")
     pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
     spans = F.transform(F.regexp_extract_all(low, F.lit(span), F.lit(0)), lambda x: pair(F.least(number(x, span, 1), number(x, span, 2)), F.greatest(number(x, span, 1), number(x, span, 2))))
     singles = F.transform(F.regexp_extract_all(low, F.lit(single), F.lit(0)), lambda x: pair(number(x, single, 1), F.when(~x.contains("+"), number(x, single, 1))))
-    return F.concat(spans, singles)
+    return F.when(tells_years(low), F.concat(spans, singles)).otherwise(F.array().cast("array<struct<low: int, high: int>>"))
+
+
+def tells_years(low: Column) -> Column:
+    """What both kinds of patterns can't do without; without it no pattern runs."""
+    return low.contains("year") | low.contains("yr")
 
 
 def required_years(c: Column) -> Column:
     """Struct (low, high) of the first range, else of a number with a plus, else of a single number up to 20."""
-    low = F.lower(text_or_empty(c))
+    low = low_of(c)
     span, plus, single = r"(\d{1,2})\s*[-–to]+\s*(\d{1,2})\s*(?:years?|yrs?)", r"(\d{1,2})\s*\+\s*(?:years?|yrs?)", r"(\d{1,2})\s*(?:years?|yrs?)"
     at = lambda p, g: F.regexp_extract(low, p, g).try_cast("int")
-    return F.when(low.rlike(span), F.struct(at(span, 1).alias("low"), at(span, 2).alias("high"))).when(low.rlike(plus), F.struct(at(plus, 1).alias("low"), F.lit(None).cast("int").alias("high"))).when(at(single, 1) <= 20, F.struct(at(single, 1).alias("low"), at(single, 1).alias("high")))
+    found = F.when(low.rlike(span), F.struct(at(span, 1).alias("low"), at(span, 2).alias("high"))).when(low.rlike(plus), F.struct(at(plus, 1).alias("low"), F.lit(None).cast("int").alias("high"))).when(at(single, 1) <= 20, F.struct(at(single, 1).alias("low"), at(single, 1).alias("high")))
+    return F.when(tells_years(low), found)
 
 
 def parse_datetime(c: Column) -> Column:

@@ -8,10 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlake import dictionaries as D
+from postlake.functions.tagging import Tagged
 
 
-def text_or_empty(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
+def text_or_empty(c: Column | Tagged) -> Column:
+    return c.raw if isinstance(c, Tagged) else F.coalesce(c, F.lit(""))
+
+
+def low_of(c: Column | Tagged) -> Column:
+    return c.low if isinstance(c, Tagged) else F.lower(text_or_empty(c))
 
 
 def any_of(patterns: list[str]) -> str:
@@ -22,17 +27,26 @@ def words_pattern(words: list[str]) -> str:
     return r"\b" + any_of([re.escape(w).replace(r"\ ", " ").replace(r"\-", "-") for w in words]) + r"\b"
 
 
-def hits(c: Column, patterns: list[str]) -> Column:
+def has_words(c: Column | Tagged, words: list[str]) -> Column:
+    """Whether any of the words or phrases occurs between word boundaries, without case."""
+    return c.has(words) if isinstance(c, Tagged) else F.lower(text_or_empty(c)).rlike(words_pattern(words))
+
+
+def hits(c: Column | Tagged, patterns: list[str]) -> Column:
     """Whether any pattern is found, without case."""
-    return F.lower(c).rlike(any_of(patterns))
+    return c.hits(patterns) if isinstance(c, Tagged) else F.lower(c).rlike(any_of(patterns))
 
 
-def holds(c: Column, phrases: list[str]) -> Column:
+def holds(c: Column | Tagged, phrases: list[str]) -> Column:
     """Whether any phrase is a substring."""
+    if isinstance(c, Tagged):
+        return c.holds(phrases)
     return F.greatest(*(F.lower(c).contains(p) for p in phrases), F.lit(False))
 
 
-def joined(*cs: Column) -> Column:
+def joined(*cs: Column | Tagged) -> Column | Tagged:
+    if all(isinstance(c, Tagged) for c in cs):
+        return Tagged("".join(c.parts for c in cs))
     return F.concat_ws(" ", *(text_or_empty(c) for c in cs))
 
 

@@ -94,20 +94,47 @@ def alerts(runs: DataFrame, share: float, per: str = "source") -> DataFrame:
     return h.select(per, "failure_rate", F.when(F.col("failure_rate") > 35, "critical").when(F.col("failure_rate") > 25, "warning").otherwise("info").alias("severity"))
 
 
+def pair(dimension: str, name: Column | str, when: Column | None = None) -> Column:
+    """An entry of a long table: null, and so left out, where ``when`` doesn't hold."""
+    entry = F.struct(F.lit(dimension).alias("dimension"), (F.lit(name) if isinstance(name, str) else name.cast("string")).alias("name"))
+    return entry if when is None else F.when(when, entry)
+
+
+def long_counts(rows: DataFrame, entries: list[Column], named: list[Column], *sums: Column) -> DataFrame:
+    """(dimension, name, n, sums) of all entries of rows, by one pass over rows: each is exploded to its entries and these are counted, map sides first. named: entries that are there even where no row has them."""
+    each = rows.select("*", F.explode(F.array_compact(F.concat(*entries))).alias("_e")).select("*", "_e.*")
+    counted = each.groupBy("dimension", "name").agg(F.count("*").alias("n"), *sums)
+    always = rows.sparkSession.range(1).select(F.explode(F.concat(*named)).alias("_e")).select("_e.*")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in counted.columns[2:]]
+    return counted.join(always, ["dimension", "name"], "full").select("dimension", "name", *zero)
+
+
 def stats(jobs: DataFrame, applied: DataFrame, as_of: str, days: int = 14) -> DataFrame:
-    """(dimension, name, n) of active jobs: all, those applied to, those read today, and counts by technology, size, source and day."""
-    active = jobs.where("is_active")
+    """(dimension, name, n) of active jobs: all, those applied to, those read today, and counts by technology, size, source and day. One pass over the jobs."""
     today = F.lit(as_of).cast("date").cast("timestamp_ntz")
-    totals = active.agg(F.count("*").alias("all"), F.count_if(F.col("scraped_at") >= today).alias("new"))
-    one = lambda df, dimension, n: df.select(F.lit(dimension).alias("dimension"), F.lit("all").alias("name"), F.col(n).alias("n"))
-    by = lambda name, dimension: active.groupBy(name.cast("string").alias("name")).agg(F.count("*").alias("n")).select(F.lit(dimension).alias("dimension"), "name", "n")
-    tech = F.explode(F.split(F.when(F.coalesce("tech_stack", F.lit("")) == "", "Unknown").otherwise(F.col("tech_stack")), ", "))
-    techs = active.select(tech.alias("name")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("tech").alias("dimension"), "name", "n")
-    by_day = active.groupBy(F.coalesce("posted_at", "scraped_at").cast("date").alias("day")).agg(F.count("*").alias("n"))
-    all_days = jobs.sparkSession.range(1).select(calendar(as_of, days).alias("day")).join(by_day, "day", "left").select(F.lit("day").alias("dimension"), F.col("day").cast("string").alias("name"), F.coalesce("n", F.lit(0)).alias("n"))
-    mine = active.join(applied.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*").alias("mine"))
-    out = one(totals, "total", "all").unionByName(one(mine, "applied", "mine")).unionByName(one(totals, "new today", "new"))
-    return out.unionByName(techs).unionByName(by(named("company_size"), "size")).unionByName(by(F.col("source"), "source")).unionByName(all_days)
+    mine = applied.select("doc_id", F.lit(True).alias("mine")).distinct()
+    rows = jobs.where("is_active").select("doc_id", "tech_stack", "company_size", "source", "scraped_at", F.coalesce("posted_at", "scraped_at").cast("date").alias("day")).join(mine, "doc_id", "left")
+    tech = F.transform(F.split(F.when(F.coalesce("tech_stack", F.lit("")) == "", "Unknown").otherwise(F.col("tech_stack")), ", "), lambda t: pair("tech", t))
+    first = F.date_sub(F.lit(as_of).cast("date"), days - 1)
+    one = F.array(pair("total", "all"), pair("applied", "all", F.col("mine")), pair("new today", "all", F.col("scraped_at") >= today), pair("size", named("company_size")), pair("source", F.col("source")), pair("day", F.col("day"), F.col("day").between(first, F.lit(as_of).cast("date"))))
+    always = [F.array(pair("total", "all"), pair("applied", "all"), pair("new today", "all")), F.transform(F.sequence(first, F.lit(as_of).cast("date")), lambda d: pair("day", d))]
+    return long_counts(rows, [one, tech], always)
+
+
+def overview(jobs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """(section, name, value) of the dashboard by one pass over the jobs: active jobs and their verified share by source, and by day; all jobs by region, size, seniority and technology; mean salaries by seniority."""
+    day = F.col("posted_at").cast("date")
+    first = F.date_sub(F.lit(as_of).cast("date"), days - 1)
+    pay = salary_range(F.col("salary"))
+    rows = jobs.select("source", "region_eligibility", "company_size", "seniority_tag", "tech_stack", "is_active", "is_verified_remote", day.alias("day"), middle_salary(pay["low"], pay["high"]).alias("mid"))
+    tech = F.transform(F.filter(F.split(F.coalesce("tech_stack", F.lit("")), ", "), lambda t: t != ""), lambda t: pair("tech", t))
+    active = F.col("is_active")
+    one = F.array(pair("source", F.col("source"), active), pair("region", F.col("region_eligibility")), pair("size", F.col("company_size")), pair("salary", F.col("seniority_tag"), F.col("mid").isNotNull()), pair("day", F.col("day"), active & F.col("day").between(first, F.lit(as_of).cast("date"))))
+    counted = long_counts(rows, [one, tech], [F.transform(F.sequence(first, F.lit(as_of).cast("date")), lambda d: pair("day", d))], F.count_if("is_verified_remote").alias("verified"), F.sum("mid").alias("pay"))
+    entry = lambda section, value: F.struct(section.alias("section"), "name", value.cast("double").alias("value"))
+    own = F.when(F.col("dimension") == "salary", F.round(F.col("pay") / F.col("n"), 2)).otherwise(F.col("n"))
+    both = F.array(entry(F.col("dimension"), own), F.when(F.col("dimension") == "source", entry(F.lit("verified rate"), rate(F.col("verified"), F.col("n")))))
+    return counted.select(F.inline(F.array_compact(both)))
 
 
 def source_rates(jobs: DataFrame) -> DataFrame:

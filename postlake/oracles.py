@@ -47,19 +47,19 @@ def strings(xs) -> str:
 
 
 TOKENS = lambda e: f"list_distinct(regexp_extract_all({e}, '([a-zA-Z0-9+#.]+)', 1))"
-CV_ROWS = "cv AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {strings(s)}, {strings(r)}, {'NULL' if y is None else y}::INT)" for i, s, r, y in CVS) + ") t(cv_id, skills, roles, years))"
+CV_ROWS = "cv AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {strings(s)}, {strings(r)}, {'NULL' if y is None else y}::INT, []::VARCHAR[])" for i, s, r, y in CVS) + f") t(cv_id, skills, roles, years, keywords) UNION ALL SELECT doc_id, list_transform({STACK}, lambda s: lower(s)), [lower(title)], CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 13)::INT END, list_sort(list_distinct(regexp_extract_all(lower(coalesce(body, '')), '[a-z]{{6,}}')))[1:10] FROM p WHERE doc_id % 100 = 0)"
 ONE_ROLE = f"CASE WHEN len(list_intersect({TOKENS('r')}, {TOKENS('lower(title)')})) > 0 THEN (CASE WHEN contains(lower(title), r) THEN 1.0::DOUBLE ELSE len(list_intersect({TOKENS('r')}, {TOKENS('lower(title)')}))::DOUBLE / len({TOKENS('r')}) END) * (0.3::DOUBLE + 0.7::DOUBLE * (len(list_filter(list_intersect({TOKENS('r')}, {TOKENS('lower(title)')}), lambda w: NOT list_contains({strings(matching.COMMON_ROLE_WORDS)}, w)))::DOUBLE / len(list_intersect({TOKENS('r')}, {TOKENS('lower(title)')})))) * (20::DOUBLE / len(roles)) ELSE 0.0::DOUBLE END"
-FOUND = "len(list_filter(cv_skills, lambda t: contains(text, t)))"
+FOUND = "len(list_filter(cv_terms, lambda t: contains(text, t)))"
 CV_PARTS = [
     "CASE WHEN len(cv_skills) > 0 THEN least(CASE WHEN len(tech) > 0 THEN len(list_intersect(cv_skills, tech))::DOUBLE / len(tech) * 15 ELSE 0.0::DOUBLE END + len(list_filter(cv_skills, lambda t: NOT list_contains(tech, t) AND contains(text, t)))::DOUBLE / len(cv_skills) * 10, 25.0::DOUBLE) ELSE 0.0::DOUBLE END",
     f"least(20.0::DOUBLE, coalesce(list_sum(list_transform(roles, lambda r: {ONE_ROLE})), 0.0::DOUBLE))",
-    f"CASE WHEN len(cv_skills) = 0 THEN 0.0::DOUBLE WHEN description = '' THEN 5.0::DOUBLE WHEN {FOUND}::DOUBLE / len(cv_skills) > 0.6 THEN least({FOUND}::DOUBLE / len(cv_skills) * 20 * 1.2::DOUBLE, 20.0::DOUBLE) ELSE {FOUND}::DOUBLE / len(cv_skills) * 20 END",
+    f"CASE WHEN len(cv_terms) = 0 THEN 0.0::DOUBLE WHEN description = '' THEN 5.0::DOUBLE WHEN {FOUND}::DOUBLE / len(cv_terms) > 0.6 THEN least({FOUND}::DOUBLE / len(cv_terms) * 20 * 1.2::DOUBLE, 20.0::DOUBLE) ELSE {FOUND}::DOUBLE / len(cv_terms) * 20 END",
     "CASE WHEN years IS NULL THEN 5.0::DOUBLE " + " ".join(f"WHEN list_contains({strings(ns)}, lower(level)) AND years BETWEEN {lo} AND {hi} THEN 15.0::DOUBLE" for ns, lo, hi in matching.LEVELS) + " WHEN needed THEN CASE WHEN years >= need_low - 1 THEN least(15.0::DOUBLE, 5 + years::DOUBLE / greatest(coalesce(nullif(need_high, 0), years + 2), 1) * 10) ELSE 5.0::DOUBLE END WHEN level <> '' THEN 8.0::DOUBLE ELSE 10.0::DOUBLE END",
     f"CASE WHEN years IS NULL THEN 0 ELSE CASE abs({case([(f'lower(tag) = {lit(k)}', str(v)) for k, v in matching.ORDER.items()], '2')} - CASE WHEN years <= 2 THEN 1 WHEN years <= 5 THEN 2 ELSE 3 END) WHEN 0 THEN 10 WHEN 1 THEN 7 WHEN 2 THEN 4 ELSE 2 END END",
     "CASE WHEN verified THEN 5 WHEN regexp_matches(lower(region), 'remote|worldwide|global|anywhere') THEN 5 WHEN region <> '' THEN 2 ELSE 0 END",
     "least(5, CASE WHEN length(description) >= 300 THEN 2 ELSE 0 END + CASE WHEN salary_min > 0 AND salary_max > salary_min THEN 2 ELSE 0 END + CASE WHEN len(tech) >= 3 THEN 1 ELSE 0 END + CASE WHEN len(tech) > 0 THEN 1 ELSE 0 END)",
 ]
-MATCHED = f"{DETAILED}, j AS (SELECT doc_id, title, description, list_transform(skills, lambda s: lower(s)) AS tech, {LEVEL} AS level, {TAG} AS tag, {VERIFIED} AS verified, {REGION} AS region, salary_min, salary_max, need_low, need_high, needed FROM d WHERE is_active), {CV_ROWS}, m AS (SELECT j.*, cv_id, cv.skills AS cv_skills, roles, years, lower(title || ' ' || description || ' ' || array_to_string(tech, ',')) AS text FROM j, cv), w AS (SELECT *, least(100, floor({' + '.join(CV_PARTS)}))::INT AS score FROM m)"
+MATCHED = f"{DETAILED}, j AS (SELECT doc_id, title, description, list_transform(skills, lambda s: lower(s)) AS tech, {LEVEL} AS level, {TAG} AS tag, {VERIFIED} AS verified, {REGION} AS region, salary_min, salary_max, need_low, need_high, needed FROM d WHERE is_active), {CV_ROWS}, m AS (SELECT j.*, cv_id, cv.skills AS cv_skills, list_distinct(list_concat(cv.skills, cv.keywords)) AS cv_terms, roles, years, lower(title || ' ' || description || ' ' || array_to_string(tech, ',')) AS text FROM j, cv), w AS (SELECT *, least(100, floor({' + '.join(CV_PARTS)}))::INT AS score FROM m)"
 CV_MATCH = P + f", {MATCHED}"
 ORACLES["cv_match"] = CV_MATCH + f" SELECT cv_id, doc_id, score, array_to_string(list_sort(list_filter(cv_skills, lambda t: list_contains(tech, t) OR contains(lower(description), t) OR contains(lower(title), t))), ',') AS matched, array_to_string(list_sort(list_filter(list_distinct(list_concat(tech, list_filter({strings(D.COMMON_TECH)}, lambda t: contains(lower(description), t)))), lambda t: NOT list_contains(cv_skills, t))), ',') AS missing FROM w WHERE score > 0"
 BAND = "CASE WHEN score >= 80 THEN 'Strong match' WHEN score >= 60 THEN 'Good match' WHEN score >= 40 THEN 'Moderate match' ELSE 'Low match' END"

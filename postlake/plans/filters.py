@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from postlake import dictionaries as D
 from postlake.functions import classify as C
 from postlake.functions.numbers import experience_ranges
+from postlake.functions.tagging import Tagged, columns, fields, tagged, untagged
 from postlake.functions.text import hits, joined, text_or_empty
 from postlake.plans.criteria import Criteria
 
 
 def term_count(c: Column, terms: list[str]) -> Column:
-    low = F.lower(text_or_empty(c))
+    low = c if isinstance(c, Tagged) else F.lower(text_or_empty(c))
     return sum((low.contains(t).cast("int") for t in terms), F.lit(0))
 
 
@@ -38,9 +39,10 @@ def posted_within(posted: Column, q: Criteria) -> Column:
     return F.coalesce(posted >= F.lit(q.as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(q.posted_within_days)), F.lit(True))
 
 
-def reject_reason(q: Criteria) -> Column:
-    """The first rule that title, company, description, location and posted_at fail; null if none."""
-    title, company, text, place = (F.col(c) for c in ("title", "company", "description", "location"))
+def reject_reason(q: Criteria, texts: dict[str, Column | Tagged] | None = None) -> Column:
+    """The first rule that title, company, description, location and posted_at fail; null if none. texts: those four, tagged or not."""
+    texts = texts or columns()
+    title, company, text, place = (texts[c] for c in ("title", "company", "description", "location"))
     whole = joined(title, text, place)
     rules = [(C.likely_fake(title, text, company), "fake"), (~matches_query(title, text, q), "query")]
     if q.strict_junior:
@@ -59,4 +61,7 @@ def reject_reason(q: Criteria) -> Column:
 
 
 def passing(postings: DataFrame, q: Criteria) -> DataFrame:
-    return postings.where(reject_reason(q).isNull())
+    """postings that no rule rejects, with their tags if they come with them."""
+    rows = tagged(postings)
+    kept = rows.where(reject_reason(q, fields()).isNull())
+    return kept if rows is postings else untagged(kept)

@@ -8,25 +8,30 @@ from pyspark.sql import functions as F
 from postlake import dictionaries as D
 from postlake.functions import classify as C
 from postlake.functions.numbers import days_between
-from postlake.functions.text import holds, joined, text_or_empty
+from postlake.functions.tagging import Tagged, columns, fields, tagged, untagged
+from postlake.functions.text import holds, joined, low_of, text_or_empty
 from postlake.plans.criteria import Criteria
 from postlake.plans.filters import term_count
 
 
-def title_score(q: Criteria) -> Column:
-    title, text = F.col("title"), F.col("description")
+Texts = dict[str, Column | Tagged]
+
+
+def title_score(q: Criteria, texts: Texts) -> Column:
+    title, text = texts["title"], texts["description"]
+    low = low_of(title)
     if not q.query or not q.terms:
-        return F.when(F.lower(title) == q.query.lower(), 1.0).otherwise(F.lit(0.5)) if q.query else F.lit(0.5)
+        return F.when(low == q.query.lower(), 1.0).otherwise(F.lit(0.5)) if q.query else F.lit(0.5)
     share = term_count(title, q.terms) / F.lit(float(len(q.terms)))
     role = F.coalesce(C.role_category(title, text) == F.lit(q.role), F.lit(False)) if q.role else F.lit(False)
     fallback = F.lit(0.0) if q.strict_title else F.when(C.is_relevant_role(title, text), 0.4).otherwise(0.0)
-    return F.when(F.lower(title) == q.query.lower(), 1.0).when(share == 1, 1.0).when(share > 0, share * (0.5 if q.strict_title else 1.0)).when(role, 0.8).otherwise(fallback)
+    return F.when(low == q.query.lower(), 1.0).when(share == 1, 1.0).when(share > 0, share * (0.5 if q.strict_title else 1.0)).when(role, 0.8).otherwise(fallback)
 
 
-def description_score(q: Criteria) -> Column:
+def description_score(q: Criteria, texts: Texts) -> Column:
     if not q.terms:
         return F.lit(0.5)
-    share = term_count(joined(F.col("title"), F.col("description")), q.terms) / F.lit(float(len(q.terms)))
+    share = term_count(joined(texts["title"], texts["description"]), q.terms) / F.lit(float(len(q.terms)))
     return F.when(text_or_empty(F.col("description")) == "", 0.5).when(share == 0, 0.0).otherwise(share if q.strict_title else F.least(F.lit(1.0), share + 0.2))
 
 
@@ -53,10 +58,10 @@ def seniority_score(q: Criteria) -> Column:
     return F.when(F.col("seniority") == "unknown", 0.5).when(F.col("seniority").isin(*q.seniority_levels) | (near == 0), 1.0).when(near == 1, 0.7).when(near == 2, 0.4).otherwise(0.1)
 
 
-def location_score(q: Criteria) -> Column:
+def location_score(q: Criteria, texts: Texts) -> Column:
     if not q.remote_only:
         return F.lit(1.0)
-    both = joined(F.col("location"), F.col("description"))
+    both = joined(texts["location"], texts["description"])
     by_text = F.when(holds(both, ["remote", "worldwide", "anywhere", "global"]), 0.8).when(holds(both, ["onsite", "on-site", "in office", "hybrid"]), 0.3).otherwise(0.5)
     return F.when(F.col("remote_type") == "fully_remote", 1.0).when(F.col("remote_type") == "hybrid", 0.5).when(F.col("remote_type") == "onsite", 0.0).otherwise(by_text)
 
@@ -84,13 +89,16 @@ def quality_score() -> Column:
     return F.round(F.least(F.lit(1.0), sum(parts[1:], parts[0])), 2)
 
 
-def parts(q: Criteria) -> dict[str, Column]:
-    return {"title": title_score(q), "description": description_score(q), "experience": experience_score(q), "seniority": seniority_score(q), "location": location_score(q), "freshness": freshness_score(q), "quality": quality_score()}
+def parts(q: Criteria, texts: Texts | None = None) -> dict[str, Column]:
+    texts = texts or columns()
+    return {"title": title_score(q, texts), "description": description_score(q, texts), "experience": experience_score(q), "seniority": seniority_score(q), "location": location_score(q, texts), "freshness": freshness_score(q), "quality": quality_score()}
 
 
 def relevance(postings: DataFrame, q: Criteria) -> DataFrame:
     """postings with s_* for each part and relevance_score."""
-    scored = postings.withColumns({f"s_{k}": v.cast("double") for k, v in parts(q).items()})
+    rows = tagged(postings)
+    scored = rows.withColumns({f"s_{k}": v.cast("double") for k, v in parts(q, fields()).items()})
+    scored = scored if rows is postings else untagged(scored)
     total = sum((F.col(f"s_{k}") * w for k, w in D.RELEVANCE_WEIGHTS.items()), F.lit(0.0))
     return scored.withColumn("relevance_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3))
 

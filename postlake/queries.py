@@ -14,6 +14,7 @@ from postlake.functions import classify as C
 from postlake.functions import enrich as E
 from postlake.functions import numbers as N
 from postlake.functions import text as T
+from postlake.functions.tagging import fields, tagged, untagged
 from postlake.operators import analytics as A
 from postlake.operators import dedup, matching, upsert
 from postlake.plans import filters, ranking, scoring
@@ -137,7 +138,8 @@ def postings(spark, sf):
 
 
 def verified(df: DataFrame) -> DataFrame:
-    return df.withColumn("verified", C.verified_remote(F.col("location"), F.col("description"), F.col("title")))
+    f = fields()
+    return untagged(tagged(df).withColumn("verified", C.verified_remote(f["location"], f["description"], f["title"])))
 
 
 # ---- flagship
@@ -147,15 +149,15 @@ def verified(df: DataFrame) -> DataFrame:
 def relevance_pipeline(spark, sf):
     """Normalise, filter, score, de-duplicate and rank postings; the most relevant first."""
     kept = filters.passing(detailed(spark, sf), Q)
-    best = dedup.by_signature(scoring.relevance(kept, Q))
+    best = dedup.by_signature(scoring.relevance(kept, Q).select("doc_id", "title", "company", "url", "source", "relevance_score"))
     return best.where("relevance_score >= 0.3").select("doc_id", "title", "source", "relevance_score").orderBy(F.desc("relevance_score"), "doc_id").limit(500)
 
 
 def detailed(spark, sf) -> DataFrame:
-    """Postings with what scoring reads: salaries, years, skills and lists."""
-    s, r = N.parse_salary(F.col("salary")), N.required_years(F.col("description"))
+    """Postings, tagged, with what scoring reads: salaries, years, skills and lists."""
+    s, r = N.parse_salary(F.col("salary")), N.required_years(fields()["description"])
     empty = F.array().cast("array<string>")
-    return postings(spark, sf).withColumns({"salary_min": s["salary_min"], "salary_max": s["salary_max"], "experience_min": r["low"], "experience_max": r["high"], "skills": C.tech_stack(F.col("description")), "tags": empty, "requirements": empty, "responsibilities": empty})
+    return tagged(postings(spark, sf)).withColumns({"salary_min": s["salary_min"], "salary_max": s["salary_max"], "experience_min": r["low"], "experience_max": r["high"], "skills": C.tech_stack(fields()["description"]), "tags": empty, "requirements": empty, "responsibilities": empty})
 
 
 # ---- scalar rules
@@ -209,14 +211,14 @@ def experience_ranges(spark, sf):
 
 @query(P + f", s AS (SELECT doc_id, {STACK} AS s FROM p) SELECT doc_id, array_to_string(s, ', ') AS tech_stack, len(s)::INT AS n FROM s")
 def tech_extract(spark, sf):
-    s = C.tech_stack(F.col("description"))
-    return postings(spark, sf).select("doc_id", F.array_join(s, ", ").alias("tech_stack"), F.size(s).alias("n"))
+    s = C.tech_stack(fields()["description"])
+    return tagged(postings(spark, sf)).select("doc_id", F.array_join(s, ", ").alias("tech_stack"), F.size(s).alias("n"))
 
 
 @query(P + f"SELECT doc_id, {ROLE} AS role, {RELEVANT} AS relevant, {LEVEL} AS level, {TAG} AS tag, {SIZE} AS size, {REGION} AS region, {VERIFIED} AS verified, {GLOBAL} AS eligible, {OUTSIDE} AS outside, {INSIDE} AS inside, {FAKE} AS fake FROM p")
 def classified(spark, sf):
-    t, d, c, l = (F.col(x) for x in ("title", "description", "company", "location"))
-    return postings(spark, sf).select("doc_id", C.role_category(t, d).alias("role"), C.is_relevant_role(t, d).alias("relevant"), C.experience_level(t, d).alias("level"), C.seniority_tag(t, d).alias("tag"), C.company_size(c, d).alias("size"), C.region(l, d).alias("region"), C.verified_remote(l, d, t).alias("verified"), C.globally_remote(l, d).alias("eligible"), C.outside_india(c).alias("outside"), C.in_india(l, d).alias("inside"), C.likely_fake(t, d, c).alias("fake"))
+    t, d, c, l = (fields()[x] for x in ("title", "description", "company", "location"))
+    return tagged(postings(spark, sf)).select("doc_id", C.role_category(t, d).alias("role"), C.is_relevant_role(t, d).alias("relevant"), C.experience_level(t, d).alias("level"), C.seniority_tag(t, d).alias("tag"), C.company_size(c, d).alias("size"), C.region(l, d).alias("region"), C.verified_remote(l, d, t).alias("verified"), C.globally_remote(l, d).alias("eligible"), C.outside_india(c).alias("outside"), C.in_india(l, d).alias("inside"), C.likely_fake(t, d, c).alias("fake"))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, length(html)::INT AS size FROM pages")
@@ -254,7 +256,7 @@ def freshness_decay(spark, sf):
 
 @query(P + f"SELECT doc_id, {REASON} AS reason FROM p")
 def filter_cascade(spark, sf):
-    return postings(spark, sf).select("doc_id", filters.reject_reason(Q).alias("reason"))
+    return tagged(postings(spark, sf)).select("doc_id", filters.reject_reason(Q, fields()).alias("reason"))
 
 
 @query(P + "SELECT doc_id, title, posted_at FROM p WHERE is_active AND source = 'greenhouse' AND (contains(lower(title), 'engineer') OR contains(lower(description), 'python')) ORDER BY posted_at DESC NULLS LAST, doc_id LIMIT 50 OFFSET 10")
@@ -298,19 +300,19 @@ def source_performance(spark, sf):
 
 @query(P + f"SELECT 'region' AS dimension, {REGION} AS name, count(*) AS n FROM p GROUP BY 2 UNION ALL SELECT 'size', {SIZE}, count(*) FROM p GROUP BY 2 UNION ALL SELECT 'role', coalesce({ROLE}, 'Unknown'), count(*) FROM p GROUP BY 2")
 def market_heatmap(spark, sf):
-    t, d, c, l = (F.col(x) for x in ("title", "description", "company", "location"))
-    named = postings(spark, sf).select(F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), v.alias("name")) for k, v in (("region", C.region(l, d)), ("size", C.company_size(c, d)), ("role", F.coalesce(C.role_category(t, d), F.lit("Unknown"))))))).alias("x"))
+    t, d, c, l = (fields()[x] for x in ("title", "description", "company", "location"))
+    named = tagged(postings(spark, sf)).select(F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), v.alias("name")) for k, v in (("region", C.region(l, d)), ("size", C.company_size(c, d)), ("role", F.coalesce(C.role_category(t, d), F.lit("Unknown"))))))).alias("x"))
     return named.groupBy("x.dimension", "x.name").agg(F.count("*").alias("n"))
 
 
 @query(P + f", s AS (SELECT {STACK} AS s FROM p) SELECT unnest(CASE WHEN len(s) = 0 THEN ['Unknown'] ELSE s END) AS tech, count(*) AS n FROM s GROUP BY 1")
 def stats_by_tech(spark, sf):
-    return A.tech_counts(postings(spark, sf), C.tech_stack(F.col("description")), "Unknown")
+    return A.tech_counts(tagged(postings(spark, sf)), C.tech_stack(fields()["description"]), "Unknown")
 
 
 @query(P + f", s AS (SELECT unnest({STACK}) AS tech FROM p) SELECT tech, count(*) AS n FROM s GROUP BY 1 ORDER BY n DESC, tech LIMIT 20")
 def tech_top20(spark, sf):
-    return A.tech_counts(postings(spark, sf), C.tech_stack(F.col("description")), None).orderBy(F.desc("n"), "tech").limit(20)
+    return A.tech_counts(tagged(postings(spark, sf)), C.tech_stack(fields()["description"]), None).orderBy(F.desc("n"), "tech").limit(20)
 
 
 DAYS = f"(SELECT unnest(generate_series(DATE '{B.AS_OF[:10]}' - 29, DATE '{B.AS_OF[:10]}', INTERVAL 1 DAY))::DATE AS day)"
@@ -345,7 +347,7 @@ def company_stats(spark, sf):
 
 @query(P + f", s AS (SELECT company, unnest({STACK}) AS tech FROM p), c AS (SELECT company, tech, count(*) AS n FROM s GROUP BY 1, 2) SELECT company, tech, n FROM c QUALIFY row_number() OVER (PARTITION BY company ORDER BY n DESC, tech) <= 10")
 def company_top10_tech(spark, sf):
-    s = postings(spark, sf).select("company", F.explode(C.tech_stack(F.col("description"))).alias("tech")).groupBy("company", "tech").agg(F.count("*").alias("n"))
+    s = tagged(postings(spark, sf)).select("company", F.explode(C.tech_stack(fields()["description"])).alias("tech")).groupBy("company", "tech").agg(F.count("*").alias("n"))
     return dedup.latest_per(s, "company", 10, F.desc("n"), F.col("tech"))
 
 
@@ -497,15 +499,20 @@ def ranking_percentile(spark, sf):
 CVS = [(1, ["python", "sql", "aws", "docker", "kubernetes"], ["devops engineer", "site reliability engineer"], 4), (2, ["java", "spring", "sql"], ["backend developer"], 1), (3, ["react", "typescript", "graphql"], ["frontend developer", "full stack developer"], 7), (4, ["go", "rust", "terraform"], [], None), (5, ["machine learning", "python"], ["data scientist"], 10)]
 
 
-def cvs(spark) -> DataFrame:
-    return spark.createDataFrame(CVS, "cv_id int, skills array<string>, roles array<string>, years int")
+def cvs(spark, sf) -> DataFrame:
+    """The CVs above, and one of each hundredth document: the technologies, title and long words of its posting."""
+    given = spark.createDataFrame([(*c, []) for c in CVS], "cv_id long, skills array<string>, roles array<string>, years int, keywords array<string>")
+    p = tagged(postings(spark, sf).where("doc_id % 100 = 0"))
+    keywords = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit("[a-z]{6,}"), F.lit(0)))), 1, 10)
+    return given.unionByName(p.select(F.col("doc_id").alias("cv_id"), F.transform(C.tech_stack(fields()["description"]), F.lower).alias("skills"), F.array(F.lower("title")).alias("roles"), F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 13).cast("int").alias("years"), keywords.alias("keywords")))
 
 
 @query()
 def cv_match(spark, sf):
-    t, d, l = F.col("title"), F.col("description"), F.col("location")
-    p = postings(spark, sf).where("is_active").withColumn("pay", N.parse_salary(F.col("salary"))).select("doc_id", "title", "description", F.transform(C.tech_stack(d), F.lower).alias("tech"), C.experience_level(t, d).alias("level"), C.seniority_tag(t, d).alias("seniority_tag"), C.verified_remote(l, d, t).alias("verified"), C.region(l, d).alias("region"), "pay.salary_min", "pay.salary_max")
-    return matching.all_scores(cvs(spark), p)
+    t, d, l = (fields()[x] for x in ("title", "description", "location"))
+    p = tagged(postings(spark, sf).where("is_active")).withColumn("pay", N.parse_salary(F.col("salary")))
+    p = p.select("doc_id", "title", "description", F.transform(C.tech_stack(d), F.lower).alias("tech"), C.experience_level(t, d).alias("level"), C.seniority_tag(t, d).alias("seniority_tag"), C.verified_remote(l, d, t).alias("verified"), C.region(l, d).alias("region"), "pay.salary_min", "pay.salary_max")
+    return matching.all_scores(cvs(spark, sf), p)
 
 
 @query("""WITH c AS (SELECT o_custkey AS cv_id, count(DISTINCT l_partkey) AS n_tech, count(*) AS n_skills, count(DISTINCT o_orderpriority) AS n_roles, count(DISTINCT l_suppkey) AS n_keywords, count(DISTINCT l_returnflag) AS n_education, count(DISTINCT l_linestatus) AS n_certificates,

@@ -35,7 +35,7 @@ J = P + ", " + STORED
 
 def jobs(spark, sf) -> DataFrame:
     """Stored jobs with is_duplicate."""
-    return records.with_duplicates(records.stored_of_raw(postings(spark, sf)))
+    return records.stored_with_duplicates(postings(spark, sf))
 
 
 STORED_COLUMNS = ["doc_id", "external_id", "title", "company", "tech_stack", "company_size", "experience_level", "region_eligibility", "is_verified_remote", "seniority_tag", "duplicate_group_id", "is_duplicate"]
@@ -147,20 +147,14 @@ def salary_by_class(spark, sf):
 
 @query(
     J
-    + f""", v AS (SELECT j.doc_id, j.posted_at, j.is_active, j.is_verified_remote AS verified, j.seniority FROM j), {DAILY}, a AS (SELECT * FROM j WHERE is_active)
+    + f""", {MID.replace("m AS", "ms AS", 1)}, v AS (SELECT j.doc_id, j.posted_at, j.is_active, j.is_verified_remote AS verified, j.seniority FROM j), {DAILY}, a AS (SELECT * FROM j WHERE is_active)
 SELECT 'source' AS section, source AS name, count(*)::DOUBLE AS value FROM a GROUP BY 2 UNION ALL SELECT 'verified rate', source, round(count_if(is_verified_remote) * 100.0::DOUBLE / count(*), 2) FROM a GROUP BY 2
-UNION ALL SELECT 'region', region_eligibility, count(*)::DOUBLE FROM j GROUP BY 2 UNION ALL SELECT 'size', company_size, count(*)::DOUBLE FROM j GROUP BY 2 UNION ALL SELECT 'day', day::VARCHAR, n::DOUBLE FROM d"""
+UNION ALL SELECT 'region', region_eligibility, count(*)::DOUBLE FROM j GROUP BY 2 UNION ALL SELECT 'size', company_size, count(*)::DOUBLE FROM j GROUP BY 2 UNION ALL SELECT 'day', day::VARCHAR, n::DOUBLE FROM d
+UNION ALL SELECT 'salary', seniority_tag, round(avg(mid), 2) FROM ms WHERE mid IS NOT NULL GROUP BY 2 UNION ALL SELECT 'tech', unnest(string_split(tech_stack, ', ')), count(*)::DOUBLE FROM j WHERE tech_stack <> '' GROUP BY 2"""
 )
 def dashboard(spark, sf):
     """The parts of the dashboard as one long table."""
-    j = jobs(spark, sf)
-    long = lambda df, section, name, value: df.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("value"))
-    rates = A.source_rates(j)
-    parts = [long(rates, "source", "source", "total_scraped"), long(rates, "verified rate", "source", "verified_remote_rate"), long(A.counts(j, F.col("region_eligibility"), "r"), "region", "r", "n"), long(A.counts(j, F.col("company_size"), "c"), "size", "c", "n"), long(A.daily(j.withColumn("verified", F.col("is_verified_remote")), B.AS_OF, 30), "day", "day", "n")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return A.overview(jobs(spark, sf), B.AS_OF)
 
 
 @query(R + ", o AS (SELECT source, count(*) AS runs, count_if(NOT ok) AS failed FROM r WHERE run_id % 2 = 0 GROUP BY 1), n AS (SELECT source, count(*) AS runs, count_if(NOT ok) AS failed FROM r WHERE run_id % 2 = 1 GROUP BY 1) SELECT source, (coalesce(o.runs, 0) + coalesce(n.runs, 0))::BIGINT AS runs, (coalesce(o.failed, 0) + coalesce(n.failed, 0))::BIGINT AS failed FROM o FULL JOIN n USING (source)")
