@@ -2,7 +2,7 @@
 
 Postings come from documents: a posting's description is a phrase of a listing and the whole text of the document
 after it; its short fields are chosen by the document's id from the lists below, so that every rule has rows that it
-holds for. Queries that compare all postings of like titles with each other take the phrase alone.
+holds for. Queries that compare postings with each other take ``headed``, whose titles and texts are the documents'.
 """
 
 from __future__ import annotations
@@ -62,6 +62,14 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings for the comparisons of postings with each other: the title is the document's first six words and the description its whole text, so both vary as the documents do and copies of documents are copies of postings; the company follows from the title."""
+    words = F.filter(F.split(F.substring(F.coalesce("body", F.lit("")), 1, 200), r"\s+"), lambda w: w != "")
+    p = postings(spark, sf_dir).drop("description", "phrase", "title", "company")
+    p = p.withColumn("title", F.array_join(F.slice(words, 1, 6), " "))
+    return p.withColumns({"company": F.element_at(F.array(*map(F.lit, COMPANIES)), (F.pmod(F.xxhash64("title"), F.lit(len(COMPANIES))) + 1).cast("int")), "description": F.coalesce("body", F.lit(""))}).drop("body")
+
+
 POSTINGS = f"""SELECT doc_id, 'ext-' || (doc_id % 800) AS external_id, {pick(SOURCES, 3)} AS source, {pick(TITLES)} AS title, {pick(COMPANIES, 2)} AS company,
   {pick(URLS, 5)} || (doc_id % 400) || CASE WHEN doc_id % 3 = 0 THEN '/?utm=1#top' ELSE '' END AS url, {pick(PHRASES, 7)} || ' ' || coalesce(text, '') AS description, {pick(PHRASES, 7)} AS phrase,
   {pick(PLACES, 11)} AS location, {pick(SALARIES, 13)} AS salary,

@@ -16,7 +16,7 @@ from postlake.functions import numbers as N
 from postlake.functions import text as T
 from postlake.functions.tagging import fields, tagged, untagged
 from postlake.operators import analytics as A
-from postlake.operators import dedup, matching, upsert
+from postlake.operators import dedup, matching, neardup, upsert
 from postlake.plans import filters, ranking, scoring
 from postlake.plans.criteria import Criteria
 from postlake.sources.readers import backfilled, page_links
@@ -538,7 +538,14 @@ def semantic_pairs(spark, sf):
 
 @query()
 def near_duplicate_pairs(spark, sf):
-    return dedup.near_with_members(postings(spark, sf).withColumn("description", F.col("phrase")), 0.75)
+    """Links of distinct postings at 0.9 by their titles, companies and descriptions, and each posting with the one that it equals."""
+    return neardup.pairs_with_members(B.headed(spark, sf))
+
+
+@query()
+def near_duplicates_kept(spark, sf):
+    """Which postings the greedy pass keeps, and which kept one the others are most like."""
+    return neardup.kept(B.headed(spark, sf))
 
 
 @query()
