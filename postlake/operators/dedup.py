@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import reduce
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -158,31 +155,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def semantic_pairs(vectors: DataFrame, queries: Column, least: float, block: int = 2048) -> DataFrame:
-    """(vec_id, other_id, similarity) of each vector for which ``queries`` (a column) is true and all others whose cosine is at least ``least``, 0 if either is all zero. The query set meets all rows a block at a time, so neither the driver nor a task holds more than one block of it; null vectors and ids take no part."""
-    rows = vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "embedding")
-    asking = rows.where(queries)
-    blocks = max(1, -(-asking.count() // block))
-
-    def compared(some: list) -> DataFrame:
-        ids = np.array([r.vec_id for r in some], np.int64)
-        q = np.array([r.embedding for r in some], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own, x = batch.column(0).to_numpy(), np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                cosine = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                i, j = np.nonzero((cosine >= least) & (ids[:, None] != own[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(cosine[i, j])], ["vec_id", "other_id", "similarity"])
-
-        return rows.mapInArrow(met, "vec_id long, other_id long, similarity double")
-
-    parts = (asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect() for b in range(blocks))
-    found = [compared(some) for some in parts if some]
-    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], "vec_id long, other_id long, similarity double")
-
-
 def groups_by_key(postings: DataFrame, key: Column) -> DataFrame:
     """Keys of more than one posting: how many there are, the least id and which sources. Sums instead of lists of ids, so no group is gathered."""
     return postings.groupBy(key.alias("group_key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")).where("n > 1")

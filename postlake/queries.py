@@ -16,7 +16,7 @@ from postlake.functions import numbers as N
 from postlake.functions import text as T
 from postlake.functions.tagging import fields, tagged, untagged
 from postlake.operators import analytics as A
-from postlake.operators import dedup, matching, neardup, upsert
+from postlake.operators import dedup, matching, neardup, semantic, upsert
 from postlake.plans import filters, ranking, scoring
 from postlake.plans.criteria import Criteria
 from postlake.sources.readers import backfilled, page_links
@@ -533,7 +533,24 @@ def ats_score(spark, sf):
 @query("WITH s AS (SELECT a.vec_id, b.vec_id AS other_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) SELECT vec_id, other_id, round(s, 6) AS similarity FROM s WHERE s >= 0.35")
 def semantic_pairs(spark, sf):
     """The query set of ids divisible by 100 against all vectors, whatever their labels."""
-    return dedup.semantic_pairs(B.table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 0.35).withColumn("similarity", F.round("similarity", 6))
+    return semantic.search(B.table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 0.35).withColumn("similarity", F.round("similarity", 6))
+
+
+MEANT = P + """, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), v AS (SELECT p.doc_id, p.posted_at, e.embedding::DOUBLE[] AS v FROM p, n, embeddings e WHERE e.vec_id = p.doc_id % n.n AND p.posted_at IS NOT NULL)"""
+
+
+def meanings(spark, sf) -> DataFrame:
+    """Postings with a time and a vector: those of the table, dealt in turn, so that some postings mean the same."""
+    vectors = B.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = vectors.agg((F.max("vec_id") + 1).alias("n"))
+    p = postings(spark, sf).select("doc_id", "posted_at").crossJoin(F.broadcast(n))  # one row
+    return p.withColumn("vec_id", F.col("doc_id") % F.col("n")).join(vectors, "vec_id").select("doc_id", "posted_at", "embedding")
+
+
+@query(MEANT + " SELECT a.doc_id AS id, b.doc_id AS other_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.doc_id < b.doc_id AND abs(epoch(a.posted_at) - epoch(b.posted_at)) <= 14 * 86400 WHERE list_cosine_similarity(a.v, b.v) >= 0.92")
+def semantic_matches(spark, sf):
+    """All pairs of postings within fourteen days whose vectors' cosine is 0.92 or more."""
+    return semantic.within_days(meanings(spark, sf), "posted_at", "doc_id").withColumn("similarity", F.round("similarity", 6))
 
 
 @query()

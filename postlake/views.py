@@ -12,7 +12,7 @@ from postlake.functions import landing, pages
 from postlake.functions import text as T
 from postlake.functions.enrich import match_band
 from postlake.operators import analytics as A
-from postlake.operators import clusters, dedup, monitoring
+from postlake.operators import clusters, dedup, monitoring, semantic
 from postlake.plans import listing, ranking, records
 from postlake.plans.listing import JobFilter
 from postlake.queries import AUTHENTIC, COMPANY, DAILY, FIRM, FRESH, LEVEL, PAY, PLACE, REGION, SALARY_RANGE, SIZE, TAG, TDL, TITLE, TRUST, VERIFIED, P, R, applications, case, hits, holds, lit, postings, query, tagless_sql
@@ -383,7 +383,7 @@ def cluster_analysis(spark, sf):
 def duplicate_cascade(spark, sf):
     """Matches of the distinct postings at the first of three levels: exact, fuzzy, then by their documents' vectors."""
     p = postings(spark, sf)
-    meant = dedup.semantic_pairs(B.table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 0.6).select(F.col("vec_id").alias("doc_id"), "other_id", "similarity")
+    meant = semantic.within_days(queries.meanings(spark, sf), "posted_at", "doc_id").select(F.col("id").alias("doc_id"), "other_id", "similarity")
     return clusters.cascade(clusters.exact_pairs(p), dedup.fuzzy_pairs(p), meant)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from postlake.operators import clusters, dedup
+from postlake.operators import clusters, dedup, semantic
 from postlake.operators.dedup import indel_share
 
 ROWS = [
@@ -63,7 +63,7 @@ def test_semantic_search_in_blocks(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 5)).round(3)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(60, [0.0] * 5), (61, None), (None, x[0].tolist())]
-    got = dedup.semantic_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 4 == 0, 0.5, block=4).collect()
+    got = semantic.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 4 == 0, 0.5, block=4).collect()
     e = x.astype(np.float32).astype(float)
     want = {(i, j) for i in range(0, 60, 4) for j in range(60) if i != j and e[i] @ e[j] / np.linalg.norm(e[i]) / np.linalg.norm(e[j]) >= 0.5}
     assert {(r.vec_id, r.other_id) for r in got} == want and len(got) == len(want) > 10
