@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from postlake import dictionaries as D
 from postlake.functions.text import cluster_md5, standard_company, standard_title
 from postlake.operators.dedup import FUZZY_KEYS, fuzzy_rows, indel, title_pairs
+from postlake.operators.neardup import greedy
+from postlake.operators.staging import staged
 
 
 def cluster_key(title: Column, company: Column) -> Column:
@@ -36,6 +38,33 @@ def cascade(exact: DataFrame, fuzzy: DataFrame, semantic: DataFrame) -> DataFram
     return out
 
 
+def edges(exact: DataFrame, fuzzy: DataFrame, semantic: DataFrame) -> DataFrame:
+    """(a, b, similarity, kind) of pairs of postings, a < b: each pair once, at the first of the three levels that finds it."""
+    level = lambda p, i, kind: p.select("doc_id", "other_id", F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), "similarity").alias("x"))
+    found = level(exact, 1, "exact").unionByName(level(fuzzy, 2, "fuzzy")).unionByName(level(semantic, 3, "semantic"))
+    ends = found.select(F.least("doc_id", "other_id").alias("a"), F.greatest("doc_id", "other_id").alias("b"), "x").where("a < b")
+    return ends.groupBy("a", "b").agg(F.min("x").alias("x")).select("a", "b", "x.similarity", "x.kind")
+
+
+def stars(pairs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Star clusters of the ends of pairs (a, b, similarity, kind): in the order of ids a posting that no earlier seed matches is a seed, and what matches it is its cluster. Not transitive: a member brings nothing in, and may belong to several seeds.
+
+    Returns states (id, kept: whether it is a seed) and members (seed, doc_id, similarity, kind). ``known`` are the states of earlier calls; then pairs have all new ids, with each other and with known ones, and what is returned is new: added to the earlier tables it is what one call over all pairs returns. New ids must be greater than known ones, so that what was decided stays."""
+    written = staged(pairs, "pairs")
+    states = staged(greedy(written, known), "states")
+    seeds = states if known is None else states.unionByName(known.select("id", "kept"))
+    seeds = seeds.where("kept").select(F.col("id").alias("seed"))
+    ends = written.select(F.col("a").alias("seed"), F.col("b").alias("doc_id"), "similarity", "kind").unionByName(written.select(F.col("b").alias("seed"), F.col("a").alias("doc_id"), "similarity", "kind"))
+    return states, ends.join(seeds, "seed")
+
+
+def starred(members: DataFrame, postings: DataFrame) -> DataFrame:
+    """(seed, primary_id, size, duplicate_count) of star clusters; the primary is of the source with the highest priority, then the least id."""
+    rank = postings.select("doc_id", priority(F.col("source")).alias("p"))
+    each = members.select("seed", "doc_id").unionByName(members.select("seed", F.col("seed").alias("doc_id")).distinct()).join(rank, "doc_id")
+    return each.groupBy("seed").agg(F.max_by("doc_id", F.struct("p", -F.col("doc_id"))).alias("primary_id"), F.count("*").alias("size")).withColumn("duplicate_count", F.col("size") - 1)
+
+
 def priority(source: Column) -> Column:
     out = F.lit(0)
     for name, n in D.CLUSTER_PRIORITY.items():

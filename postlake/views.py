@@ -13,6 +13,7 @@ from postlake.functions import text as T
 from postlake.functions.enrich import match_band
 from postlake.operators import analytics as A
 from postlake.operators import clusters, dedup, monitoring, semantic
+from postlake.operators.staging import staged
 from postlake.plans import listing, ranking, records
 from postlake.plans.listing import JobFilter
 from postlake.queries import AUTHENTIC, COMPANY, DAILY, FIRM, FRESH, LEVEL, PAY, PLACE, REGION, SALARY_RANGE, SIZE, TAG, TDL, TITLE, TRUST, VERIFIED, P, R, applications, case, hits, holds, lit, postings, query, tagless_sql
@@ -387,6 +388,18 @@ def duplicate_cascade(spark, sf):
     return clusters.cascade(clusters.exact_pairs(p), dedup.fuzzy_pairs(p), meant)
 
 
+@query()
+def star_clusters(spark, sf):
+    """Clusters around seeds by exact, fuzzy and semantic matches, older postings first and then the newer half with the stored seeds."""
+    p = B.headed(spark, sf)
+    meant = semantic.within_days(queries.meanings(spark, sf), "posted_at", "doc_id").select(F.col("id").alias("doc_id"), "other_id", "similarity")
+    pairs = staged(clusters.edges(clusters.exact_pairs(p), dedup.fuzzy_pairs(p), meant), "edges")
+    half = p.agg(F.expr("percentile_approx(doc_id, 0.5)").alias("half")).first().half or 0
+    states, old = clusters.stars(pairs.where(F.col("b") < half))
+    _, new = clusters.stars(pairs.where(F.col("b") >= half), states)
+    return clusters.starred(old.unionByName(new), p)
+
+
 # ---- rules for fields
 
 LEGACY = lambda e: f"regexp_replace(lower({e}), '[^a-z0-9]', '', 'g')"

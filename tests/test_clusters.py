@@ -1,5 +1,8 @@
 """Clusters against brute force on small tables."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from postlake.operators import clusters, dedup, semantic
@@ -67,3 +70,42 @@ def test_semantic_search_in_blocks(spark):
     e = x.astype(np.float32).astype(float)
     want = {(i, j) for i in range(0, 60, 4) for j in range(60) if i != j and e[i] @ e[j] / np.linalg.norm(e[i]) / np.linalg.norm(e[j]) >= 0.5}
     assert {(r.vec_id, r.other_id) for r in got} == want and len(got) == len(want) > 10
+
+
+def one_after_another(pairs):
+    """The rule as it says: each in the order of ids, unless an earlier seed has matched it."""
+    ids = sorted({x for p in pairs for x in p[:2]})
+    near = {i: {b if a == i else a for a, b, *_ in pairs if i in (a, b)} for i in ids}
+    done, seeds = set(), {}
+    for i in ids:
+        if i not in done:
+            seeds[i] = near[i]
+            done |= {i} | near[i]
+    return seeds
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_star_clusters_in_one_pass_and_in_increments(spark, seed):
+    rng = random.Random(seed)
+    pairs = sorted({(*sorted(rng.sample(range(50), 2)), 0.9, "fuzzy") for _ in range(rng.choice([25, 60, 200]))})
+    kind = "a long, b long, similarity double, kind string"
+    frame = lambda rows: spark.createDataFrame(rows, kind)
+    gathered = lambda rows: {(r.seed, r.doc_id) for r in rows}
+    states, members = clusters.stars(frame(pairs))
+    want = {(s, m) for s, ms in one_after_another(pairs).items() for m in ms}
+    assert gathered(members.collect()) == want and {r.id for r in states.collect() if r.kept} == {s for s, _ in want}
+    found, known = set(), None
+    for lo, hi in ((0, 20), (20, 21), (21, 60)):
+        states, members = clusters.stars(frame([p for p in pairs if lo <= p[1] < hi]), known)
+        found |= gathered(members.collect())
+        known = states if known is None else known.unionByName(states)
+    assert found == want
+    p = spark.createDataFrame([(i, ["elsewhere", "greenhouse", "remotive"][i % 3]) for i in range(50)], "doc_id long, source string")
+    got = {r.seed: (r.primary_id, r["size"]) for r in clusters.starred(clusters.stars(frame(pairs))[1], p).collect()}
+    assert got == {s: (max(own, key=lambda i: ([0, 10, 5][i % 3], -i)), len(own)) for s, ms in one_after_another(pairs).items() for own in [ms | {s}]}
+
+
+def test_edges_keep_the_first_level(spark):
+    pairs = lambda *p: spark.createDataFrame([(*x, s) for *x, s in p], "doc_id long, other_id long, similarity double")
+    got = clusters.edges(pairs((2, 1, 0.9)), pairs((1, 2, 0.99), (3, 1, 0.8)), pairs((1, 3, 1.0), (4, 5, 0.95))).collect()
+    assert {tuple(r) for r in got} == {(1, 2, 0.9, "exact"), (1, 3, 0.8, "fuzzy"), (4, 5, 0.95, "semantic")}
