@@ -41,8 +41,10 @@ def sections_text(sections: Column) -> Column:
 
 
 def text_or_field(value: Column, field: str) -> Column:
-    """A value that is JSON text of an object or a plain text: the object's field, else the text."""
-    return F.when(value.startswith("{"), text_or_empty(F.get_json_object(value, f"$.{field}"))).otherwise(text_or_empty(value))
+    """A value that is JSON of an object or a plain text: the object's field as text (empty if it has none), else the text as it is, malformed JSON too. Read as a variant, so one column holds both kinds."""
+    parsed = F.try_parse_json(value)
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    return F.when(is_object, text_or_empty(F.try_variant_get(parsed, f"$.{field}", "string"))).otherwise(text_or_empty(value))
 
 
 def currency_range(low: Column, high: Column, currency: Column) -> Column:

@@ -128,3 +128,9 @@ def test_outcomes_are_observed(spark):
     seen = Observation("ingest")
     assert sorted(r.outcome for r in readers.observed(readers.ingested(rows), seen).collect()) == ["invalid", "kept", "spam"]
     assert seen.get == {"fetched": 3, "invalid": 1, "spam": 1, "kept": 1}
+
+
+def test_a_field_that_is_an_object_or_a_text(spark):
+    values = ['{"name": "Rome"}', "Rome", '{"name": ', "[1]", '{"x": 1}', '{"name": 7}', '"quoted"', "", None, "12"]
+    got = [r.v for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string").orderBy("i").select(L.text_or_field(F.col("s"), "name").alias("v")).collect()]
+    assert got == ["Rome", "Rome", '{"name": ', "[1]", "", "7", '"quoted"', "", "", "12"]
