@@ -66,9 +66,9 @@ def list_jobs_search(spark, sf):
     return listing.listed(jobs(spark, sf), f).select("doc_id", "title", "company", "posted_at")
 
 
-@query(J + " SELECT " + PAGE.format("j WHERE company_size = 'Mid-size' AND experience_level = 'Junior (0-2 years)' AND region_eligibility = 'Worldwide' AND seniority_tag = 'junior' AND doc_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')") + " LIMIT 25 OFFSET 5")
+@query(J + " SELECT " + PAGE.format("j WHERE company_size = 'Mid-size' AND experience_level = 'Senior (excluded)' AND region_eligibility = 'Worldwide' AND seniority_tag = 'senior' AND doc_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')") + " LIMIT 25 OFFSET 5")
 def list_jobs_page(spark, sf):
-    f = JobFilter(company_size="Mid-size", experience_level="Junior (0-2 years)", region_eligibility="Worldwide", seniority_tag="junior", is_applied=False, is_sponsored=False, is_hot_job=False, offset=5, limit=25)
+    f = JobFilter(company_size="Mid-size", experience_level="Senior (excluded)", region_eligibility="Worldwide", seniority_tag="senior", is_applied=False, is_sponsored=False, is_hot_job=False, offset=5, limit=25)
     return listing.listed(jobs(spark, sf), f, applications(spark, sf)).select("doc_id", "title", "company", "posted_at")
 
 
