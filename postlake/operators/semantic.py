@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from postlake.operators.staging import staged
 
-PIVOTS, BLOCK, COPIES = 64, 1024, 8
+PIVOTS, BLOCK, COPIES = 64, 16384, 8
+#: Rows of a block that are multiplied with another block at once.
+SLICE = 256
 EPS = 1e-6
 
 
@@ -133,14 +135,16 @@ def alike(vectors: DataFrame, least: float, pivots: int = PIVOTS, block: int = B
 
     def met(x: pa.Table, y: pa.Table) -> pa.Table:
         ids, others = x["id"].to_numpy(), y["id"].to_numpy()
-        i = j = np.zeros(0, np.int64)
-        cosine = np.zeros((1, 1))
+        found = []
         if len(ids) and len(others):
             u, w = (units(t["v"].combine_chunks(), t.num_rows) for t in (x, y))
-            cosine = u @ w.T
-            i, j = np.nonzero(cosine >= least)
-            i, j = (k[ids[i] < others[j]] for k in (i, j))
-        return pa.table({"a": ids[i], "b": others[j], "similarity": cosine[i, j]})
+            for at in range(0, len(ids), SLICE):
+                cosine = u[at : at + SLICE] @ w.T
+                i, j = np.nonzero(cosine >= least)
+                i, j = (k[ids[at + i] < others[j]] for k in (i, j))
+                found.append((ids[at + i], others[j], cosine[i, j]))
+        a, b, c = (np.concatenate(k) for k in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": a, "b": b, "similarity": c})
 
     keys = [*names, "s", "s2"]
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(met, "a long, b long, similarity double")
