@@ -51,6 +51,20 @@ def units(column: pa.Array, n: int) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def met_queries(batch: pa.RecordBatch, by: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of queries (for each length of vectors ids and unit vectors) and rows (id, v), SLICE rows at a time, so a task holds one slice's products whatever the batch."""
+    sizes = batch.column(1).value_lengths().to_numpy()
+    for size in np.unique(sizes):
+        if int(size) in by:
+            whole = batch.filter(pa.array(sizes == size))
+            ids, q = by[int(size)]
+            for part in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                own, x = part.column(0).to_numpy(), units(part.column(1), part.num_rows)
+                cosine = q @ x.T
+                i, j = np.nonzero((cosine >= least) & (ids[:, None] != own[None, :]) & x.any(axis=1)[None, :] & q.any(axis=1)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(cosine[i, j])], ["vec_id", "other_id", "similarity"])
+
+
 def search(vectors: DataFrame, queries: Column, least: float, block: int = 2048) -> DataFrame:
     """(vec_id, other_id, similarity) of each row for which ``queries`` is true and all rows of other ids whose cosine is at least ``least``. The query set meets all rows a block at a time; each block's result is written before the next block is read, so the driver, a task and the plan hold one block."""
     rows = usable(vectors)
@@ -67,15 +81,7 @@ def search(vectors: DataFrame, queries: Column, least: float, block: int = 2048)
 
         def met(batches: Iterator[pa.RecordBatch], by: dict = by) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sizes = batch.column(1).value_lengths().to_numpy()
-                for size in np.unique(sizes):
-                    if int(size) in by:
-                        part = batch.filter(pa.array(sizes == size))
-                        ids, q = by[int(size)]
-                        own, x = part.column(0).to_numpy(), units(part.column(1), part.num_rows)
-                        cosine = q @ x.T
-                        i, j = np.nonzero((cosine >= least) & (ids[:, None] != own[None, :]) & x.any(axis=1)[None, :] & q.any(axis=1)[:, None])
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(cosine[i, j])], ["vec_id", "other_id", "similarity"])
+                yield from met_queries(batch, by, least)
 
         part = rows.mapInArrow(met, "vec_id long, other_id long, similarity double")
         found.append(part if blocks == 1 else staged(part, "search"))

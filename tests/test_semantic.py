@@ -1,8 +1,10 @@
 """Vectors against brute force: odd rows, blocks, cells of time and angle."""
 
 import datetime as dt
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,16 @@ def test_search_defines_odd_vectors(spark):
 def test_empty(spark):
     assert semantic.within_days(spark.createDataFrame([], KIND), "t").count() == 0
     assert semantic.search(spark.createDataFrame([], KIND), F.lit(True), 0.5).count() == 0
+
+
+def test_a_search_holds_one_slice_of_products():
+    rng = np.random.default_rng(3)
+    rows, queries = rng.normal(size=(10_000, 16)), rng.normal(size=(1_000, 16))
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(list(rows.astype(np.float32)), pa.list_(pa.float32()))], ["id", "v"])
+    want = int((queries @ (rows.astype(np.float32) / np.linalg.norm(rows.astype(np.float32), axis=1, keepdims=True)).T >= 0.8).sum())
+    tracemalloc.start()
+    got = sum(b.num_rows for b in semantic.met_queries(batch, {16: (np.arange(20_000, 21_000), queries)}, 0.8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want > 0 and peak < 30e6  # all products at once are 80 MB
