@@ -45,8 +45,10 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<6QI8s")
 MAGIC = b"PLSST001"
 INDEX = struct.Struct("<9s4Q")
-#: The pre-tokeniser drops white space and lets no token cross it, nor the place between a letter or digit and such a mark, so parts between these are encoded once and kept. Only ASCII letters and digits count here: composing and lowering leave them what they are, while other letters may end in a combining mark, which joins the marks that follow.
-PART = re.compile(r"[A-Za-z0-9]++(?=[,.;:!?])|[^ \t\n\r]+")
+#: The pre-tokeniser drops white space and lets no token cross it, nor the place between a letter or digit and such a mark, so words between white space are kept with their ids, and a new one is put together from parts that are encoded once. Only ASCII letters and digits and the letters of Latin-1 (two bytes of UTF-8) count here: composing and lowering leave them letters, while others may end in a combining mark, which joins the marks that follow. The apostrophe is no such mark.
+PART = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?=[!-&(-/:-@\[-`{-~])|[^ \t\n\r\x0b\x0c]+")
+#: Texts with a letter from U+0300 on (combining marks, with which a small letter may compose where its capital doesn't) or what may begin a special token aren't lowered before the tokenizer does.
+AS_IS = re.compile(rb"[\xcc-\xff]|<\|")
 KEPT = 600_000
 
 
@@ -59,7 +61,7 @@ def tokenizer(path: str):
 
 
 @functools.cache
-def kept_parts(path: str) -> dict[str, bytes]:
+def kept_parts(path: str) -> dict[bytes, bytes]:
     return {}
 
 
@@ -68,14 +70,18 @@ def encode_texts(texts: list[str], path: str, end: int = END) -> list[bytes]:
     known, tail = kept_parts(path), np.array([end], "<u4").tobytes()
     if len(known) > KEPT:
         known.clear()
-    parts = [PART.findall(t) for t in texts]
-    new = list(set().union(*parts).difference(known))
+    words = [(t if AS_IS.search(t) else t.lower()).split() for t in map(str.encode, texts)]  # at ASCII white space, and of ASCII letters only
+    new = list(set().union(*words).difference(known))
     for first in range(0, len(new), 10_000):
-        some = new[first : first + 10_000]
-        for part, found in zip(some, tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True):
+        some = [(w, (w,) if w.isalnum() else PART.findall(w)) for w in new[first : first + 10_000]]
+        parts = list({p for _, own in some for p in own}.difference(known))
+        for part, found in zip(parts, tokenizer(path).encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
             ids = found.ids
             known[part] = struct.pack(f"<{len(ids)}I", *ids)
-    return [b"".join([*map(known.__getitem__, x), tail]) for x in parts]
+        for word, own in some:
+            if len(own) > 1:
+                known[word] = b"".join([known[p] for p in own])
+    return [b"".join([*map(known.__getitem__, x), tail]) for x in words]
 
 
 def key_bytes(key: int | None) -> bytes:

@@ -62,3 +62,17 @@ def test_query(spark):
         ids = np.array(direct(d.text), "<u4")
         assert tuple(g) == (d.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_capitals_and_marks_give_the_ids_of_the_whole_text():
+    """Words are lowered and cut before they are kept; a capital must not compose, nor turn into a special token, where the library sees none."""
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    words = ["Straße", "ÀÉ", "a×b", "H̱", "<|ENDOFTEXT|>", "A<|endoftext|>B", "x\x0bY\x0cZ", "W̊ q", "it's", "IT'S", "a_b", "̸", "İX"]
+    texts = [f"{a}{m}{b}" for a in words for m in marks for b in ["T", "̸", "é", "'s", m, ""]]
+    assert [np.frombuffer(g, "<u4").tolist() for g in sstable.encode_texts(texts, PATH)] == [direct(t) for t in texts]
+
+
+def test_variants_of_a_word_are_encoded_once():
+    sstable.kept_parts(PATH).clear()
+    sstable.encode_texts(["Éléphantqz éléphantqz, Wordqz wordqz#", "wordqz&&& WORDQZ"], PATH)
+    assert len({k for k in sstable.kept_parts(PATH) if b"wordqz" in k.lower()}) == 3 and b"Wordqz" not in sstable.kept_parts(PATH)
