@@ -48,6 +48,7 @@ MISSED = 1e-6
 SURE = 14.0
 ASKED = 4
 COPIES = 32
+TEXT_PARTS = 4
 MULTIPLY = (mixed(np.arange(20_000, 20_000 + REGISTERS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 ADD = mixed(np.arange(40_000, 40_000 + REGISTERS, dtype=np.uint64)).astype(np.uint32)
 
@@ -255,9 +256,14 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     regs = written(classes.select("c", "n", "regs").join(about.select("c"), "c"), "registers")
     named, counted = written(classes.select("c", "k", "pick.key"), "names"), written(rows.select("key", "h", "n", "k"), "sizes")
     forget(rows, classes)
-    # the texts of all classes that share a bucket, read once
-    found = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).alias("d").join(about.select("c", "key", "h").alias("w"), F.expr("d.h = w.h AND d.key <=> w.key"))
-    texts = written(found.select("c", "text").dropDuplicates(["c"]), "texts")
+    # the texts of all classes that share a bucket, a part at a time: all texts move to be joined, and each part's shuffle files go before the next one
+    slot = F.pmod(F.xxhash64("key", "h"), F.lit(TEXT_PARTS))
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    texts = None
+    for i in range(TEXT_PARTS):
+        found = source.where(slot == i).alias("d").join(about.select("c", "key", "h").where(slot == i).alias("w"), F.expr("d.h = w.h AND d.key <=> w.key"))
+        part = written(found.select("c", "text").dropDuplicates(["c"]), "texts")
+        texts = part if texts is None else texts.unionByName(part)
     tables = [regs, named, counted, buckets, about, texts]
 
     fits = F.least("n", "nb") * least[1] >= F.greatest("n", "nb") * least[0]

@@ -103,3 +103,18 @@ def test_registers_merge_and_estimate():
 
 def test_query(spark):
     same_as_sql(spark, d.op3_near_duplicates, d.ORACLE, "sf0.01")
+
+
+def test_texts_move_a_part_at_a_time(spark, monkeypatch):
+    sizes = []
+
+    def watched(df, name, real=d.written):
+        out = real(df, name)
+        sizes.extend([out.count()] if name == "texts" else [])
+        return out
+
+    monkeypatch.setattr(d, "written", watched)
+    rows = [(i, " ".join(f"w{(i // 2) * 100 + k}" for k in range(60)) + " x" * (i % 2)) for i in range(200)]
+    got = d.component_ids(spark.createDataFrame(rows, "doc_id long, text string"), n=3, least=(85, 100)).collect()
+    assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in got) and len(got) == 200
+    assert len(sizes) == d.TEXT_PARTS and sum(sizes) == 200 and max(sizes) < 100
