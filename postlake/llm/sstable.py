@@ -50,6 +50,8 @@ PART = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?=[!-&(
 #: Texts with a letter from U+0300 on (combining marks, with which a small letter may compose where its capital doesn't) or what may begin a special token aren't lowered before the tokenizer does.
 AS_IS = re.compile(rb"[\xcc-\xff]|<\|")
 KEPT = 600_000
+#: Parts that are encoded as one text.
+JOINED = 200
 
 
 @functools.cache
@@ -65,6 +67,34 @@ def kept_parts(path: str) -> dict[bytes, bytes]:
     return {}
 
 
+@functools.cache
+def divider(path: str) -> tuple[int, str] | None:
+    """A token that the tokenizer takes out of a text before anything else and that leaves what stands beside it alone, so parts joined by it are encoded as if each stood alone."""
+    for i, token in tokenizer(path).get_added_tokens_decoder().items():
+        if token.special and token.content.startswith("<|") and not (token.normalized or token.lstrip or token.rstrip or token.single_word):
+            return i, token.content
+    return None
+
+
+def encode_parts(parts: list[bytes], path: str) -> Iterator[tuple[bytes, bytes]]:
+    """Each part and its ids. Parts are joined to texts of JOINED, whose ids are cut at the divider; those that may hold one are encoded alone."""
+    by, alone = divider(path), parts
+    if by:
+        alone, joined = [], []
+        for p in parts:
+            (alone if b"<|" in p else joined).append(p)
+        texts = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        mark = by[1].encode()
+        for own, found in zip(texts, tokenizer(path).encode_batch_fast([mark.join(x).decode() for x in texts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == by[0])).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            yield from zip(own, [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)], strict=True)
+    for part, found in zip(alone, tokenizer(path).encode_batch_fast([p.decode() for p in alone], add_special_tokens=False), strict=True):
+        ids = found.ids
+        yield part, struct.pack(f"<{len(ids)}I", *ids)
+
+
 def encode_texts(texts: list[str], path: str, end: int = END) -> list[bytes]:
     """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
     known, tail = kept_parts(path), np.array([end], "<u4").tobytes()
@@ -75,9 +105,7 @@ def encode_texts(texts: list[str], path: str, end: int = END) -> list[bytes]:
     for first in range(0, len(new), 10_000):
         some = [(w, (w,) if w.isalnum() else PART.findall(w)) for w in new[first : first + 10_000]]
         parts = list({p for _, own in some for p in own}.difference(known))
-        for part, found in zip(parts, tokenizer(path).encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
-            ids = found.ids
-            known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        known.update(encode_parts(parts, path))
         for word, own in some:
             if len(own) > 1:
                 known[word] = b"".join([known[p] for p in own])

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 
 from postlake.llm import sstable
 from postlake.llm.common import fresh_path
@@ -76,3 +77,12 @@ def test_variants_of_a_word_are_encoded_once():
     sstable.kept_parts(PATH).clear()
     sstable.encode_texts(["Éléphantqz éléphantqz, Wordqz wordqz#", "wordqz&&& WORDQZ"], PATH)
     assert len({k for k in sstable.kept_parts(PATH) if b"wordqz" in k.lower()}) == 3 and b"Wordqz" not in sstable.kept_parts(PATH)
+
+
+def test_parts_joined_are_encoded_as_alone():
+    path = public_tokenizers.path(sstable.VOCABULARY)
+    parts = [x.encode() for x in ["the", "don't", "s", "'s", "|>", "<", "<|", "<|endoftext|>", "a<|endoftext|>b", "<|startoftext|", "e\u0301", "\u0301x", "\u00a0", "x\u2003y", "\U0001f600", "|endoftext|>", "Cafe9", "9", "!?", "endoftext"]] * 25
+    found = list(sstable.encode_parts(parts, path))
+    alone = lambda p: np.array(sstable.tokenizer(path).encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    assert sorted(p for p, _ in found) == sorted(parts) and all(ids == alone(p) for p, ids in found)
+    assert list(sstable.encode_parts([], path)) == []
