@@ -1,7 +1,10 @@
 """Clusters against brute force on small tables."""
 
+import itertools
 import random
+from collections.abc import Iterator
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +112,36 @@ def test_edges_keep_the_first_level(spark):
     pairs = lambda *p: spark.createDataFrame([(*x, s) for *x, s in p], "doc_id long, other_id long, similarity double")
     got = clusters.edges(pairs((2, 1, 0.9)), pairs((1, 2, 0.99), (3, 1, 0.8)), pairs((1, 3, 1.0), (4, 5, 0.95))).collect()
     assert {tuple(r) for r in got} == {(1, 2, 0.9, "exact"), (1, 3, 0.8, "fuzzy"), (4, 5, 0.95, "semantic")}
+
+
+def test_titles_are_rated_only_where_companies_are_alike(spark, monkeypatch):
+    """Titles that begin alike are many; a ratio is taken only where the companies' allows a match. Blocks and odd rows change no match."""
+    plain = dedup.token_set.func
+
+    @F.pandas_udf("double")
+    def strict(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in pairs:
+            if any(x.split()[-1] != y.split()[-1] for x, y in zip(a, b, strict=True)):
+                raise ValueError("titles of companies that aren't alike")
+            yield from plain(iter([(a, b)]))
+
+    monkeypatch.setattr(dedup, "token_set", strict)
+    companies = ["Acme Inc.", "Globex", "Hooli", "Umbrella", "Stripe", "Initech"]
+    rows = [(i, ["greenhouse", "remotive", "elsewhere"][i // 6 % 3], f"Senior platform engineering {i % 40} k{i % 6}", companies[i % 6]) for i in range(90)]
+    rows += [(90, "remotive", None, "Acme"), (91, "greenhouse", "", "Acme"), (92, None, "Senior platform engineering 1 k1", "Globex"), (93, "remotive", "Senior platform engineering k7", None), (94, "greenhouse", "Senior platform engineering k7", ""), (95, "elsewhere", "dev k8", "X"), (96, "remotive", "Sr dev k8", "X")]
+    p = spark.createDataFrame(rows, "doc_id long, source string, title string, company string")
+    f, least = dedup.fuzzy_rows(p).collect(), {}
+    for r in f:
+        if r.t:
+            least.setdefault((r.source, r.l, r.c), r)
+    want = {}
+    for a, b in itertools.combinations(sorted(least.values()), 2):
+        begins = any(len(y.t) >= 5 and y.t[:20] in x.l for x, y in ((a, b), (b, a)))
+        if begins and None not in (a.source, b.source) and a.source != b.source:
+            share = 0.7 * next(iter(plain(iter([(pd.Series([a.t]), pd.Series([b.t]))]))))[0] + 0.3 * indel_share(a.c, b.c)
+            if share >= 0.85:
+                want[a.doc_id, b.doc_id] = share
+    assert {(r.doc_id, r.other_id) for r in dedup.fuzzy_pairs(p).collect()} == set(want)
+    for block in (1024, 2):
+        got = dedup.fuzzy_of(dedup.title_matches(p, dedup.fuzzy_least(0.85), block)).collect()
+        assert {(r.doc_id, r.other_id): r.similarity for r in got} == pytest.approx(want) and len(got) == len(want) > 100
